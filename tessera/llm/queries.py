@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, simhash
+from . import bpe, licenses, mixing, quality, secrets, simhash, sketch
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.dedup_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.fp_hex(rows.fp).alias("fingerprint"), "component_id")
@@ -29,8 +41,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_quality_rules, op6_simhash_dedup, op9_byte_bpe]
+    found = [op1_quality_rules, op2_document_fingerprints, op3_license_scan, op5_source_mixing, op6_simhash_dedup, op9_byte_bpe, op10_secret_scan]
     return {q.__name__: q for q in found}
 
 
