@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, secrets, simhash, sketch
+from . import bpe, extract, licenses, mixing, quality, secrets, simhash, sketch, tokenfiles, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Vocabulary of op9; a path is a parameter everywhere else.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Vocabulary of op4's token files; 50256 is free in it and ends a document.
+FLAT_VOCABULARY, FLAT_EOD = "byte_bpe_50k.tiktoken", 50_256
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def _flat_encoder():
+    """A worker's text-to-ids function of op4, by the tiktoken library."""
+    import tiktoken
+
+    ranks = bpe.load_ranks(public_tokenizers.path(FLAT_VOCABULARY))
+    return tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.count_documents(table(spark, sf_dir, "documents"), _flat_encoder, FLAT_EOD)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -37,6 +52,14 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.fp_hex(rows.fp).alias("fingerprint"), "component_id")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve_revisits(warc.capture_log(table(spark, sf_dir, "pages")))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -46,7 +69,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_quality_rules, op2_document_fingerprints, op3_license_scan, op5_source_mixing, op6_simhash_dedup, op9_byte_bpe, op10_secret_scan]
+    found = [op1_quality_rules, op2_document_fingerprints, op3_license_scan, op4_token_counts, op5_source_mixing, op6_simhash_dedup, op7_html_extraction, op8_warc_revisits, op9_byte_bpe, op10_secret_scan]
     return {q.__name__: q for q in found}
 
 
