@@ -37,10 +37,11 @@ class QualityParams:
     bits: int = 16
     #: Bound of the labelled sample behind the target multinomial.
     max_trusted: int = 20_000
-    #: Additive smoothing of a bucket, in counts.
-    alpha: float = 1.0
+    #: Prior of the target, shaped like the raw corpus: counts a bucket.  A small
+    #: trusted sample thus pulls no score far from 0.
+    prior: float = 4.0
     #: Nats per n-gram below which a document goes.
-    threshold: float = -0.3
+    threshold: float = -0.25
     min_words: int = 50
     #: Percent of words in repeated 3-word windows above which it goes.
     max_repeat_pct: int = 50
@@ -123,8 +124,9 @@ def fit_weights(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
         raw[bucket], target[bucket] = n_raw, n_target
     if not target.sum():
         return np.zeros(size)
-    smooth = lambda n: np.log((n + params.alpha) / (n.sum() + params.alpha * size))
-    return smooth(target) - smooth(raw)
+    p_raw = np.maximum(raw, 0.5) / raw.sum()
+    prior = params.prior * size
+    return np.log((target + prior * p_raw) / (target.sum() + prior)) - np.log(p_raw)
 
 
 SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, base_failed boolean, kept boolean"
