@@ -86,7 +86,7 @@ def test_quality_drops_unlike_text(spark):
     frame = spark.createDataFrame(good + junk, DOCS)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
     score = {r.doc_id: r.llr for r in quality.score_documents(spark, frame, labels, quality.QualityParams(bits=12)).collect()}
-    assert min(score[i] for i in range(400)) > -0.05 and max(score[1000 + i] for i in range(6)) < -0.2
+    assert min(score[i] for i in range(400)) > -0.1 and max(score[1000 + i] for i in range(6)) < -0.2
 
 
     return reduce  # placeholder for the hash, which only Spark computes
