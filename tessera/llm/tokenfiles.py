@@ -27,14 +27,19 @@ from . import common
 #: Tokens of a block, and blocks of a piece of the prefix scan.
 BLOCK = 1 << 16
 GROUP = 1 << 12
+#: Documents encoded at a time.
+SLICE = 256
 
 
 def _seek(dtype: str, eod: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files, numbers, data = (batch.column(i) for i in range(3))
-            ends = [(np.flatnonzero(np.frombuffer(d, dtype) == eod) + n * block).tolist() for n, d in zip(numbers.to_pylist(), data.to_pylist(), strict=True)]
-            sizes = [len(d) // np.dtype(dtype).itemsize for d in data.to_pylist()]
+            ends, sizes = [], []
+            for i, n in enumerate(numbers.to_pylist()):
+                ids = np.frombuffer(data[i].as_buffer(), dtype)  # the batch's own memory
+                ends.append(np.flatnonzero(ids == eod) + n * block)
+                sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays([files, numbers, pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["file", "block", "n", "ends"])
 
     return run
@@ -85,8 +90,9 @@ def write_flat(docs: DataFrame, encode, path: str, eod: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encode()
         for batch in batches:
-            data = [np.array(ids_of(t), ">u2").tobytes() + end[:1] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["value"])
+            for at in range(0, batch.num_rows, SLICE):
+                data = [np.array(ids_of(t), ">u2").tobytes() + end[:1] for t in batch.column(0).slice(at, SLICE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["value"])
 
     rows = docs.select(common.text_or_empty().alias("text")).mapInArrow(run, "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", chr(end[1])).text(path)
