@@ -226,7 +226,7 @@ _SYL = "case when length(x) <= 3 then 1 else greatest(1, len(regexp_extract_all(
         f"""select id, case when w = 0 then 0.0 else round(206.835 - 1.015 * w / s - 84.6 * y / w, 6) end as flesch,
  case when w = 0 then 0.0 else round(0.39 * w / s + 11.8 * y / w - 15.59, 6) end as fk_grade, case when w = 0 then 0.0 else round(4.71 * c / w + 0.5 * w / s - 21.43, 6) end as ari from s1""",
         _F,
-        f"s1 as (select id, len(e) as w, greatest(1, len(regexp_extract_all(a,'[.!?]+'))) as s, coalesce(list_sum(list_transform(list_transform(e, lambda x: lower(x)), lambda x: {_SYL})), 0) as y, coalesce(list_sum(list_transform(e, lambda x: length(x))), 0) as c from f1)",
+        f"s1 as (select id, len(e)::double as w, greatest(1, len(regexp_extract_all(a,'[.!?]+'))) as s, coalesce(list_sum(list_transform(list_transform(e, lambda x: lower(x)), lambda x: {_SYL})), 0)::double as y, coalesce(list_sum(list_transform(e, lambda x: length(x))), 0)::double as c from f1)",
     )
 )
 def readability(spark, d):
