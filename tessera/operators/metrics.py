@@ -10,8 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Judge dimensions, composites with their weights, score range.
-DIMENSIONS = ("instruction_following", "correctness", "relevance", "fluency")
-COMPOSITES = {"utility": {"instruction_following": 0.4, "correctness": 0.4, "relevance": 0.2}, "naturalness": {"fluency": 0.6, "relevance": 0.4}}
+DIMENSIONS = (
+    "task_success", "factual_grounding", "instruction_following", "reference_alignment",
+    "conditional_appropriateness", "response_shape_and_length", "discourse_naturalness", "safety",
+)
+COMPOSITES = {
+    "overall": {
+        "task_success": 0.20, "factual_grounding": 0.15, "instruction_following": 0.15, "reference_alignment": 0.10,
+        "conditional_appropriateness": 0.17, "response_shape_and_length": 0.08, "discourse_naturalness": 0.10, "safety": 0.05,
+    },
+    "utility": {"task_success": 0.35, "factual_grounding": 0.25, "instruction_following": 0.20, "reference_alignment": 0.15, "safety": 0.05},
+    "conditional_naturalness": {
+        "conditional_appropriateness": 0.35, "response_shape_and_length": 0.20, "discourse_naturalness": 0.25, "reference_alignment": 0.15, "safety": 0.05,
+    },
+    "distribution_faithfulness": {
+        "conditional_appropriateness": 0.30, "response_shape_and_length": 0.20, "discourse_naturalness": 0.20, "reference_alignment": 0.20, "factual_grounding": 0.10,
+    },
+}
+STAGES = ("human", "baselm", "sft", "dpo", "dist_sft", "hdpo")
 SCORES = (1, 5)
 
 

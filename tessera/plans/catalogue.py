@@ -458,34 +458,50 @@ def _judge_sql() -> str:
     for judge in (1, 2):
         parts.append(f"select doc_id, source as source_id, {judge} as judge, " + ", ".join(f"{_draw(judge, k, 'duck')} as {n}" for k, n in enumerate(M.DIMENSIONS)) + " from documents")
     valid = " and ".join(f"{n} between 1 and 5" for n in M.DIMENSIONS)
-    comps = ", ".join("case when " + valid + " then round((" + " + ".join(f"{w} * ({n} - 1) / 4 * 100" for n, w in ws.items()) + f"), 4) end as {c}" for c, ws in M.COMPOSITES.items())
+    comps = ", ".join("case when " + valid + " then round((" + " + ".join(f"{w} * ({n} - 1) / 4 * 100" for n, w in ws.items()) + f") / {sum(ws.values())!r}, 4) end as {c}" for c, ws in M.COMPOSITES.items())
     return f"with j0 as ({' union all '.join(parts)}), j as (select *, ({valid}) as valid, {comps} from j0) "
 
 
-@query(_judge_sql() + "select doc_id, judge, valid, utility, naturalness from j")
+_COMPS = list(M.COMPOSITES)
+_MEANS = ", ".join(f"round(avg({c}), 6) as {c}" for c in _COMPS)
+_DIM_MEANS = ", ".join(f"round(avg({c}) filter (valid), 6) as {c}" for c in M.DIMENSIONS)
+_AGREE = ", ".join(
+    f"round(covar_pop(a.{c}, b.{c}) / nullif(stddev_pop(a.{c}) * stddev_pop(b.{c}), 0), 6) as pearson_{c}, round(avg(abs(a.{c} - b.{c})), 6) as mean_abs_diff_{c}" for c in _COMPS
+)
+
+
+@query(_judge_sql() + f"select doc_id, judge, valid, {', '.join(_COMPS)} from j")
 def judge_parse(spark, d):
-    return M.judge_parsed(_replies(spark, d)).select("doc_id", "judge", "valid", "utility", "naturalness")
+    return M.judge_parsed(_replies(spark, d)).select("doc_id", "judge", "valid", *_COMPS)
 
 
-@query(_judge_sql() + "select source_id, judge, count(*) as n, count(*) filter (valid) as n_valid, round(avg(utility), 6) as utility, round(avg(naturalness), 6) as naturalness from j group by 1, 2")
+@query(_judge_sql() + f"select source_id, judge, count(*) as n, count(*) filter (valid) as n_valid, {_DIM_MEANS}, {_MEANS} from j group by 1, 2")
 def judge_summary(spark, d):
-    rows = M.judge_parsed(_replies(spark, d))
-    return rows.groupBy("source_id", "judge").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), _r6(F.avg("utility")).alias("utility"), _r6(F.avg("naturalness")).alias("naturalness"))
+    """Counts and means of valid replies' dimensions and composites, by source and judge."""
+    dims = [_r6(F.avg(F.when(F.col("valid"), F.col(c)))).alias(c) for c in M.DIMENSIONS]
+    comps = [_r6(F.avg(c)).alias(c) for c in _COMPS]
+    return M.judge_parsed(_replies(spark, d)).groupBy("source_id", "judge").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), *dims, *comps)
 
 
-@query(_judge_sql() + "select a.source_id, count(*) as n, round(covar_pop(a.utility, b.utility) / nullif(stddev_pop(a.utility) * stddev_pop(b.utility), 0), 6) as pearson, round(avg(abs(a.utility - b.utility)), 6) as mean_abs_diff from j a join j b using (doc_id) where a.judge = 1 and b.judge = 2 and a.valid and b.valid group by 1")
+@query(_judge_sql() + f"select a.source_id, count(*) as n, {_AGREE} from j a join j b using (doc_id) where a.judge = 1 and b.judge = 2 and a.valid and b.valid group by 1")
 def judge_agreement(spark, d):
-    rows = M.judge_parsed(_replies(spark, d)).where("valid").groupBy("doc_id", "source_id").agg(F.max(F.when(F.col("judge") == 1, F.col("utility"))).alias("a"), F.max(F.when(F.col("judge") == 2, F.col("utility"))).alias("b"))
-    both = rows.where("a is not null and b is not null")
-    return both.groupBy("source_id").agg(F.count("*").alias("n"), _r6(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))).alias("pearson"), _r6(F.avg(F.abs(F.col("a") - F.col("b")))).alias("mean_abs_diff"))
+    """Pearson correlation and mean absolute difference of two judges, by composite."""
+    rows = M.judge_parsed(_replies(spark, d)).where("valid")
+    side = lambda j, c: F.max(F.when(F.col("judge") == j, F.col(c))).alias(f"{c}_{j}")
+    both = rows.groupBy("doc_id", "source_id").agg(*[side(j, c) for j in (1, 2) for c in _COMPS]).where(F.col(f"{_COMPS[0]}_1").isNotNull() & F.col(f"{_COMPS[0]}_2").isNotNull())
+    made = []
+    for c in _COMPS:
+        a, b = F.col(f"{c}_1"), F.col(f"{c}_2")
+        made += [_r6(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).alias(f"pearson_{c}"), _r6(F.avg(F.abs(a - b))).alias(f"mean_abs_diff_{c}")]
+    return both.groupBy("source_id").agg(F.count("*").alias("n"), *made)
 
 
-POINTS = "pts as (select source_id, round(avg(utility) / 100, 6) as u, round(avg(naturalness) / 100, 6) as n from j group by 1)"
+POINTS = "pts as (select source_id, round(avg(utility) / 100, 6) as u, round(avg(conditional_naturalness) / 100, 6) as n from j group by 1)"
 FRONT = "front as (select source_id, u, n from (select *, max(n) over (order by u desc, n desc rows between unbounded preceding and 1 preceding) as b from pts where u is not null and n is not null) where b is null or n > b)"
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return M.judge_parsed(_replies(spark, d)).groupBy("source_id").agg(_r6(F.avg("utility") / 100).alias("u"), _r6(F.avg("naturalness") / 100).alias("n"))
+    return M.judge_parsed(_replies(spark, d)).groupBy("source_id").agg(_r6(F.avg("utility") / 100).alias("u"), _r6(F.avg("conditional_naturalness") / 100).alias("n"))
 
 
 @query(_judge_sql() + f", {POINTS}, {FRONT} select * from front")

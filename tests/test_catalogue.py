@@ -1,5 +1,7 @@
 """Every catalogue query against its SQL, and operators against plain Python."""
 
+import json
+
 import duckdb
 import pandas as pd
 import pytest
@@ -95,12 +97,13 @@ def test_water_fill():
 
 
 def test_judge_replies(spark):
-    good = '{"instruction_following": 5, "correctness": "4", "relevance": 1, "fluency": 3}'
-    replies = [good, f"x ```json\n{good}\n``` y", "none", good.replace("5", "6"), '{"fluency": 3}']
+    scores = dict.fromkeys(M.DIMENSIONS, 3) | {"task_success": 5, "factual_grounding": "4", "safety": 1}
+    good = json.dumps(scores)
+    replies = [good, f"x ```json\n{good}\n``` y", "none", good.replace("5", "6"), '{"safety": 3}']
     frame = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string")
     got = {r.i: r for r in M.judge_parsed(frame).collect()}
     assert [got[i].valid for i in range(5)] == [True, True, False, False, False]
-    assert got[0].utility == 70.0 and got[2].utility is None
+    assert got[0].utility == round(0.35 * 100 + 0.25 * 75 + 0.35 * 50, 4) and got[2].utility is None
 
 
 def test_provider_isolates_a_bad_row(spark):
