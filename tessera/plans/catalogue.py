@@ -541,9 +541,16 @@ def message_tree_ancestry(spark, d):
         union all select c.conv_id, c.turn, w.depth + 1 from _turns c join w on c.conv_id = w.conv_id and c.turn = w.turn + 1) select * from w""")
 
 
+def _all() -> None:
+    """Registers the queries over model outputs, which build on this module."""
+    from tessera.plans import outputs  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
