@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Judge dimensions, composites with their weights, score range.
 DIMENSIONS = (
@@ -124,35 +125,75 @@ def balanced_sample(rows: DataFrame, key: str, ident: str, total: int, order: Co
     return ranked.join(F.broadcast(quota), key).where(F.col("_r") <= F.col("quota")).drop("_r", "quota")
 
 
-def bleu4(candidate: list[str], references: list[list[str]]) -> float:
-    """Sentence BLEU-4 with zero counts set to 0.1."""
-    from collections import Counter
+def word_overlap(pairs: DataFrame) -> DataFrame:
+    """(id, common): size of the multiset intersection of word arrays ``p`` and ``r``, by
+    words counted per id; ids without a word are absent."""
+    side = lambda c, a: pairs.select("id", F.explode(c).alias("w"), F.lit(a).alias("a"))
+    counts = side("p", 1).unionByName(side("r", 0)).groupBy("id", "w").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
+    return counts.groupBy("id").agg(F.sum(F.least("a", "b")).alias("common"))
 
-    if not candidate:
-        return 0.0
-    logs = 0.0
+
+def f1_of_counts(common: Column, n: Column, m: Column) -> Column:
+    """F1 of a common count and two sizes; both empty 1, one empty 0."""
+    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(2.0 * common / (n + m))
+
+
+def lcs(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a whole table row in one integer."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for w in b:
+        hit = free & at.get(w, 0)
+        free = (free + hit | free - hit) & full
+    return len(a) - free.bit_count()
+
+
+@F.pandas_udf(LongType())
+def lcs_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def bleu4_each(texts: list[list[str]], others: int) -> list[float]:
+    """Sentence BLEU-4 of each text against the ``others`` texts after it, in a ring.
+
+    Zero counts become 0.1.  Postings of n-grams spare a pass over every reference.
+    """
+    from collections import Counter, defaultdict
+
+    size = len(texts)
+    span = min(others, size - 1)
+    hits = [[0] * 4 for _ in texts]
     for n in range(1, 5):
-        grams = Counter(zip(*(candidate[i:] for i in range(n)), strict=False))
-        limit: Counter = Counter()
-        for r in references:
-            limit |= Counter(zip(*(r[i:] for i in range(n)), strict=False))
-        hit, all_ = sum((grams & limit).values()), max(1, sum(grams.values()))
-        logs += math.log((hit or 0.1) / all_) / 4
-    near = min((abs(len(r) - len(candidate)), len(r)) for r in references)[1]
-    penalty = 1.0 if len(candidate) > near else math.exp(1 - near / len(candidate))
-    return penalty * math.exp(logs)
+        counts = [Counter(zip(*(t[i:] for i in range(n)), strict=False)) for t in texts]
+        postings = defaultdict(list)
+        for j, c in enumerate(counts):
+            for gram, k in c.items():
+                postings[gram].append((j, k))
+        for i, c in enumerate(counts):
+            hits[i][n - 1] = sum(min(k, max((x for j, x in postings[gram] if 0 < (j - i) % size <= span), default=0)) for gram, k in c.items())
+    scores = []
+    for i, t in enumerate(texts):
+        if not t:
+            scores.append(0.0)
+            continue
+        logs = sum(math.log((hits[i][n - 1] or 0.1) / max(1, len(t) - n + 1)) / 4 for n in range(1, 5))
+        near = min((abs(m - len(t)), m) for m in (len(texts[(i + s) % size]) for s in range(1, span + 1)))[1]
+        scores.append((1.0 if len(t) > near else math.exp(1 - near / len(t))) * math.exp(logs))
+    return scores
 
 
 def self_bleu(rows: DataFrame, sample: int = 500, others: int = 100) -> DataFrame:
-    """(bucket_id, n, self_bleu): of at most ``sample`` hash-first texts a bucket,
-    each against up to ``others`` of the rest."""
+    """(bucket_id, n, self_bleu): of at most ``sample`` hash-first texts a bucket, each
+    against up to ``others`` of the rest; null for a bucket of one text."""
     rank = F.row_number().over(Window.partitionBy("bucket_id").orderBy(F.md5(F.col("id").cast("string")), "id"))
     chosen = rows.withColumn("_r", rank).where(F.col("_r") <= sample)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_r")
-        texts = [list(w) for w in frame["words"]]
-        scores = [bleu4(t, rest) for i, t in enumerate(texts) if (rest := (texts[i + 1 :] + texts[:i])[:others])]
+        texts = [list(w) for w in frame.sort_values("_r")["words"]]
+        scores = bleu4_each(texts, others) if len(texts) > 1 else []
         return pd.DataFrame({"bucket_id": [frame["bucket_id"].iloc[0]], "n": [len(texts)], "self_bleu": [sum(scores) / len(scores) if scores else None]})
 
     return chosen.groupBy("bucket_id").applyInPandas(run, "bucket_id string, n long, self_bleu double")

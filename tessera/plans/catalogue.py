@@ -2,8 +2,7 @@
 
 Bindings to the test tables: documents are single-turn records (dataset = source,
 language = lang, split by hash of the id), conversations give multi-turn ones; a
-record's *prediction* is the first 30 tokens of its own answer with every third
-one replaced; *judge replies* are JSON texts of scores drawn from a hash.
+record's *prediction* is its own answer with every third word replaced; *judge replies* are JSON texts of scores drawn from a hash.
 """
 
 from __future__ import annotations
@@ -321,32 +320,39 @@ def wasserstein_bng(spark, d):
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(id, bucket_id, dataset, p, r): predicted and reference words, 40 at most."""
-    rows = _records(spark, d).select("id", "bucket_id", "dataset", F.slice(T.answer_words(F.col("human_answer")), 1, 40).alias("r"))
-    return rows.withColumn("p", F.slice(F.transform("r", lambda w, i: F.when(i % 3 == 2, F.lit("of")).otherwise(w)), 1, 30))
+    """(id, bucket_id, dataset, p, r): all predicted and reference words."""
+    rows = _records(spark, d).select("id", "bucket_id", "dataset", T.answer_words(F.col("human_answer")).alias("r"))
+    return rows.withColumn("p", F.transform("r", lambda w, i: F.when(i % 3 == 2, F.lit("of")).otherwise(w)))
 
 
-_PAIRS = rf"""p0 as (select id, bucket_id, dataset, list_filter(regexp_split_to_array(regexp_replace(lower(human_answer), '{T.PUNCTUATION}', '', 'g'), '[ \n]+'), lambda w: w <> '' and w not in ('a','an','the'))[1:40] as r from records),
-pairs as (select *, list_transform(r, lambda w, i: case when (i - 1) % 3 = 2 then 'of' else w end)[1:30] as p from p0)"""
-_F1 = """case when len(p)=0 and len(r)=0 then 1.0 when len(p)=0 or len(r)=0 then 0.0 else 2.0 * list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))) / (len(p) + len(r)) end"""
+_PAIRS = rf"""p0 as (select id, bucket_id, dataset, list_filter(regexp_split_to_array(regexp_replace(lower(human_answer), '{T.PUNCTUATION}', '', 'g'), '[ \n]+'), lambda w: w <> '' and w not in ('a','an','the')) as r from records),
+pairs as (select *, list_transform(r, lambda w, i: case when (i - 1) % 3 = 2 then 'of' else w end) as p from p0),
+both_ as (select id, w, sum(a) as a, sum(b) as b from (select id, unnest(p) as w, 1 as a, 0 as b from pairs union all select id, unnest(r), 0, 1 from pairs) group by 1, 2),
+common as (select id, sum(least(a, b)) as c from both_ group by 1)"""
+_F1 = "case when len(p)=0 and len(r)=0 then 1.0 when len(p)=0 or len(r)=0 then 0.0 else 2.0 * c / (len(p) + len(r)) end"
 
 
-@query(_sql(f"select bucket_id, dataset, count(*) as n, round(avg((p = r)::int), 6) as em, round(avg({_F1}), 6) as f1 from pairs group by grouping sets ((), (bucket_id), (dataset))", _PAIRS))
+@query(_sql(f"select bucket_id, dataset, count(*) as n, round(avg((p = r)::int), 6) as em, round(avg({_F1}), 6) as f1 from pairs left join common using (id) group by grouping sets ((), (bucket_id), (dataset))", _PAIRS))
 def utility_em_f1(spark, d):
-    rows = _pairs(spark, d).withColumn("f1", T.f1(T.overlap(F.col("p"), F.col("r")), F.col("p"), F.col("r"))).withColumn("em", (F.col("p") == F.col("r")).cast("int"))
+    """Exact match and token F1; overlaps come from counted words, so long answers stay cheap."""
+    rows = _pairs(spark, d)
+    sized = rows.select("id", "bucket_id", "dataset", F.size("p").alias("n_p"), F.size("r").alias("n_r"), (F.col("p") == F.col("r")).cast("int").alias("em"))
+    rows = sized.join(M.word_overlap(rows), "id", "left").withColumn("f1", M.f1_of_counts(F.col("common"), F.col("n_p"), F.col("n_r")))
     return rows.groupingSets([[], ["bucket_id"], ["dataset"]], "bucket_id", "dataset").agg(F.count("*").alias("n"), _r6(F.avg("em")).alias("em"), _r6(F.avg("f1")).alias("f1"))
 
 
 @query()
 def rouge_l(spark, d):
-    rows = _pairs(spark, d)
-    return rows.select("id", _r6(T.f1(T.lcs_length(F.col("p"), F.col("r")), F.col("p"), F.col("r"))).alias("rouge_l"))
+    rows = _pairs(spark, d).select("id", F.size("p").alias("n_p"), F.size("r").alias("n_r"), M.lcs_lengths("p", "r").alias("lcs"))
+    return rows.select("id", _r6(M.f1_of_counts(F.col("lcs"), F.col("n_p"), F.col("n_r"))).alias("rouge_l"))
 
 
 @query(
     _sql(
-        "select n, count(*) as total, count(distinct g) as unique_grams, round(count(distinct g) / count(*), 6) as distinct_n from (select n, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(p[i:i+n-1], ' '))) as g from pairs, (values (1),(2),(3)) v(n)) group by n",
+        """select n, count(*) as total, count(distinct g) as unique_grams, round(count(distinct g) / count(*), 6) as distinct_n from (
+ select 1 as n, w as g from ws union all select 2, w || ' ' || w2 from ws where w2 is not null union all select 3, w || ' ' || w2 || ' ' || w3 from ws where w3 is not null) group by n""",
         _PAIRS,
+        "w0 as (select id, unnest(p) as w, generate_subscripts(p, 1) as i from pairs), ws as (select w, lead(w, 1) over o as w2, lead(w, 2) over o as w3 from w0 window o as (partition by id order by i))",
     )
 )
 def distinct_n(spark, d):
@@ -359,7 +365,7 @@ def distinct_n(spark, d):
 
 @query()
 def self_bleu(spark, d):
-    return M.self_bleu(_pairs(spark, d).select("id", "bucket_id", F.col("p").alias("words")), 60, 40)
+    return M.self_bleu(_pairs(spark, d).select("id", "bucket_id", F.col("p").alias("words")))
 
 
 ALIGN = """preds as (select doc_id as source_index, case when doc_id % 11 = 0 then 'other' else lang end as observed from documents where doc_id % 5 <> 0

@@ -73,7 +73,44 @@ def test_rouge_and_overlap(spark):
     made = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for _ in range(80)]
     frame = spark.createDataFrame([(list(a), list(b)) for a, b in made], "a array<string>, b array<string>")
     for r in frame.select("a", "b", T.lcs_length(F.col("a"), F.col("b")).alias("l"), T.overlap(F.col("a"), F.col("b")).alias("o")).collect():
-        assert r.l == lcs(r.a, r.b) and r.o == sum((Counter(r.a) & Counter(r.b)).values())
+        assert r.l == lcs(r.a, r.b) == M.lcs(r.a, r.b) and r.o == sum((Counter(r.a) & Counter(r.b)).values())
+
+
+def test_self_bleu(spark):
+    import math
+    import random
+    from collections import Counter
+
+    def bleu(text, references):
+        if not text:
+            return 0.0
+        total = 0.0
+        for n in range(1, 5):
+            grams = lambda t: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))  # noqa: B023, E731
+            best = Counter()
+            for r in references:
+                best |= grams(r)
+            mine = grams(text)
+            total += math.log((sum(min(k, best[g]) for g, k in mine.items()) or 0.1) / max(1, sum(mine.values()))) / 4
+        near = min((abs(len(r) - len(text)), len(r)) for r in references)[1]
+        return math.exp(total) * (1 if len(text) > near else math.exp(1 - near / len(text)))
+
+    rng = random.Random(5)
+    texts = [[rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in range(15)]
+    for others in (3, 99):
+        want = [bleu(t, [texts[(i + s) % 15] for s in range(1, min(others, 14) + 1)]) for i, t in enumerate(texts)]
+        assert M.bleu4_each(texts, others) == pytest.approx(want)
+    rows = spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts)] + [(99, "one", ["a"])], "id long, bucket_id string, words array<string>")
+    got = {r.bucket_id: r for r in M.self_bleu(rows).collect()}
+    assert got["b"].n == 15 and got["b"].self_bleu == pytest.approx(sum(M.bleu4_each(texts, 99)) / 15) and got["one"].self_bleu is None
+
+
+def test_word_overlap(spark):
+    from collections import Counter
+
+    made = [(1, ["a", "b", "a"], ["a", "a", "a"]), (2, [], []), (3, ["x"], []), (4, ["q", "r"], ["r", "q"])]
+    got = {r.id: r.common for r in M.word_overlap(spark.createDataFrame(made, "id long, p array<string>, r array<string>")).collect()}
+    assert got == {i: sum((Counter(p) & Counter(r)).values()) for i, p, r in made if p or r}
 
 
 def test_history_pairs(spark):
