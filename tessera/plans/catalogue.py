@@ -16,6 +16,7 @@ from tessera.functions import text as T
 from tessera.operators import buckets as B
 from tessera.operators import metrics as M
 from tessera.operators import records as R
+from tessera.operators.trees import chains as tree_chains
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -541,10 +542,13 @@ def embedding_cosine(spark, d):
 @query("with recursive w as (select conv_id, turn, 1 as depth from conversations where turn = 0 union all select c.conv_id, c.turn, w.depth + 1 from conversations c join w on c.conv_id = w.conv_id and c.turn = w.turn + 1) select conv_id, turn, depth::bigint as depth from w")
 def message_tree_ancestry(spark, d):
     """Turns that an unbroken chain of parents joins to their root."""
-    view = R.table(spark, d, "conversations").select("conv_id", "turn")
-    view.createOrReplaceTempView("_turns")
-    return spark.sql("""with recursive w as (select conv_id, turn, 1L as depth from _turns where turn = 0
-        union all select c.conv_id, c.turn, w.depth + 1 from _turns c join w on c.conv_id = w.conv_id and c.turn = w.turn + 1) select * from w""")
+    ident = lambda turn: F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
+    turn = F.col("turn")
+    view = R.table(spark, d, "conversations").select("conv_id", "turn", ident(turn).alias("id"), F.when(turn > 0, ident(turn - 1)).alias("parent"))
+    # a turn whose parent is absent would count as a root: only first turns are
+    rows = tree_chains(view, F.lit(True), F.struct("conv_id", "turn")).where("chain[0].turn = 0")
+    last = F.element_at("chain", -1)
+    return rows.select(last["conv_id"].alias("conv_id"), last["turn"].alias("turn"), F.size("chain").cast("long").alias("depth"))
 
 
 def _all() -> None:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.generation import strip
 from tessera.functions.text import normalize_text as norm
+from tessera.operators.trees import chains
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -85,8 +87,75 @@ def many_answers(raw: DataFrame) -> DataFrame:
     return rows.select(*_record(F.concat_ws("-", "g", "i"), F.col("g"), F.col("question"), F.lit(""), F.col("a"))).where("human_answer <> ''")
 
 
+def truthy(x: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(x.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
+
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.alias("role"), text.alias("text"))
+
+
+def alternating_dialogue(raw: DataFrame) -> DataFrame:
+    """id, utterances (one string, turns joined by __eou__): user first, roles in turn.
+
+    The mark's characters are stripped from both ends of the string, as they would be
+    by a character-set strip, so a last letter among e, o, u may go with it.
+    """
+    whole = F.regexp_replace(strip(F.col("utterances")), r"^[_eou]+|[_eou]+\z", "")
+    said = F.filter(F.transform(F.split(whole, "__eou__"), norm), lambda t: t != "")
+    turns = F.transform(said, lambda t, i: _turn(F.when(i % 2 == 0, "user").otherwise("assistant"), t))
+    rows = raw.select("id", turns.alias("t")).select("id", "t", F.posexplode("t").alias("i", "turn")).where("i % 2 = 1")
+    before = F.slice("t", F.lit(1), F.col("i"))
+    return rows.select(*_record(F.concat_ws("-turn-", "id", F.lpad(F.col("i").cast("string"), 3, "0")), F.col("id"), F.element_at(before, -1)["text"], F.lit(""), F.col("turn.text"), before))
+
+
+def task_dialogue(raw: DataFrame) -> DataFrame:
+    """dialogue_id, turns of (speaker, utterance): each system turn after another turn,
+    asked by the latest user turn."""
+    turns = F.transform("turns", lambda t: _turn(F.when(t["speaker"] == "USER", "user").otherwise("assistant"), t["utterance"]))
+    rows = raw.select(F.col("dialogue_id").alias("id"), turns.alias("t")).select("id", "t", F.posexplode("t").alias("i", "turn")).where("i > 0 and turn.role = 'assistant'")
+    before = F.slice("t", F.lit(1), F.col("i"))
+    asked = F.coalesce(F.try_element_at(F.filter(before, lambda t: t["role"] == "user"), F.lit(-1))["text"], F.lit(""))
+    return rows.select(*_record(F.concat_ws("-turn-", "id", F.lpad(F.col("i").cast("string"), 3, "0")), F.col("id"), asked, F.lit(""), F.col("turn.text"), before))
+
+
+def search_answers(raw: DataFrame) -> DataFrame:
+    """subset, id, context, question, is_impossible, answers (array of texts): the first
+    text; impossible rows go from the checklist subset only."""
+    rows = raw.where(~(F.col("subset").eqNullSafe("checklist") & truthy(F.col("is_impossible"))))
+    answer = _first_text(F.coalesce("answers", F.array().cast("array<string>")))
+    return rows.select(*_record(F.concat_ws("-", "subset", "id"), F.col("context"), F.col("question"), F.col("context"), answer)).where("human_answer <> ''")
+
+
+def human_written(raw: DataFrame) -> DataFrame:
+    """subset, instruction, input, output, answer_from and perhaps human_verified: a blank
+    origin passes; verification counts only where the column is there."""
+    rows = raw.where((F.coalesce("answer_from", F.lit("")) == "") | (F.lower("answer_from") == "human")).where(F.coalesce("output", F.lit("")) != "")
+    if "human_verified" in raw.columns:
+        rows = rows.where(truthy(F.col("human_verified")))
+    key = F.concat_ws("::", "subset", "instruction", "output")
+    return rows.select(*_record(F.sha1(key), key, F.col("instruction"), F.col("input"), F.col("output")))
+
+
+def message_tree(raw: DataFrame) -> DataFrame:
+    """message_id, parent_id, message_tree_id, role, text, lang, tree_state, deleted,
+    review_result: assistant messages whose ancestors are all usable and that follow a
+    prompter."""
+    usable = (
+        (norm(F.col("tree_state")) == "ready_for_export") & ~truthy(F.col("deleted")) & truthy(F.col("review_result"))
+        & F.lower(F.coalesce("lang", F.lit(""))).startswith("zh") & norm(F.col("role")).isin("prompter", "assistant") & (norm(F.col("text")) != "")
+    )
+    role = F.when(norm(F.col("role")) == "prompter", "user").otherwise("assistant")
+    nodes = raw.withColumn("id", F.col("message_id")).withColumn("parent", F.col("parent_id"))
+    rows = chains(nodes, usable, F.struct(role.alias("role"), F.col("text"), F.coalesce("message_tree_id", "message_id").alias("tree")))
+    rows = rows.where((F.size("chain") >= 2) & (F.col("chain")[F.size("chain") - 1]["role"] == "assistant") & (F.col("chain")[F.size("chain") - 2]["role"] == "user"))
+    asked, answer = F.element_at("chain", -2), F.element_at("chain", -1)
+    history = F.transform(F.slice("chain", F.lit(1), F.size("chain") - 2), lambda t: _turn(t["role"], t["text"]))
+    return rows.select(*_record(F.col("id"), answer["tree"], asked["text"], F.lit(""), answer["text"], history))
+
+
 FORMATTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    f.__name__: f for f in (instruction, passages, story_turns, scored_answers, span_answers, query_answer, nested_paragraphs, many_answers)
+    f.__name__: f for f in (instruction, passages, story_turns, scored_answers, span_answers, query_answer, nested_paragraphs, many_answers, alternating_dialogue, task_dialogue, search_answers, human_written, message_tree)
 }
 
 
