@@ -105,7 +105,7 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def syllables(word: Column) -> Column:
-    """Vowel groups, a silent e less, at least one; one for up to three letters."""
-    groups = F.regexp_count(word, F.lit("[aeiouy]+"))
-    silent = F.when(word.endswith("e") & ~word.endswith("le") & (groups > 1), 1).otherwise(0)
-    return F.when(F.length(word) <= 3, 1).otherwise(F.greatest(F.lit(1), groups - silent))
+    """Vowel groups of the letters, a silent e less, at least one; one for up to three letters."""
+    bare = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    silent = bare.rlike(r"[^ly]e\z").cast("int")
+    return F.when(F.length(bare) == 0, 0).when(F.length(bare) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(bare, F.lit("[aeiouy]+")) - silent))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import features as X
 from tessera.functions import text as T
 from tessera.operators import buckets as B
 from tessera.operators import metrics as M
@@ -218,44 +219,58 @@ def text_features_core(spark, d):
     )
 
 
-_SYL = "case when length(x) <= 3 then 1 else greatest(1, len(regexp_extract_all(x,'[aeiouy]+')) - (case when x like '%e' and x not like '%le' and len(regexp_extract_all(x,'[aeiouy]+')) > 1 then 1 else 0 end)) end"
+_BARE = "regexp_replace(x, '[^a-z]', '', 'g')"
+_SYL = f"case when length({_BARE}) <= 3 then 1 else greatest(1, len(regexp_extract_all({_BARE},'[aeiouy]+')) - regexp_matches({_BARE}, '[^ly]e$')::int) end"
+_READ = f"""g0 as (select id, a, list_transform(list_filter(t, lambda x: regexp_matches(x, '{X.LEXICAL}')), lambda x: lower(x)) as w, list_transform(e, lambda x: lower(x)) as e,
+ len(list_filter(regexp_split_to_array(regexp_replace(a, '({X.TERMINAL})', '\\1' || chr(10), 'g'), '\n+'), lambda x: trim(x) <> ''))::double as s from f1),
+g1 as (select *, list_transform(e, lambda x: {_SYL}) as b from g0),
+g2 as (select id, len(e)::double as n, len(w) / s as per, s, coalesce(list_sum(b), 0)::double as y, len(list_filter(b, lambda k: k >= 3))::double as many, len(regexp_extract_all(a, '\\p{{L}}')) as letters, length(regexp_replace(a, '[ \n]', '', 'g')) as solid from g1)"""
 
 
 @query(
     _sql(
-        f"""select id, case when w = 0 then 0.0 else round(206.835 - 1.015 * w / s - 84.6 * y / w, 6) end as flesch,
- case when w = 0 then 0.0 else round(0.39 * w / s + 11.8 * y / w - 15.59, 6) end as fk_grade, case when w = 0 then 0.0 else round(4.71 * c / w + 0.5 * w / s - 21.43, 6) end as ari from s1""",
+        """select id, case when n > 0 then round(206.835 - 1.015 * per - 84.6 * (y / n), 6) else 0 end as flesch, case when n > 0 then round(0.39 * per + 11.8 * (y / n) - 15.59, 6) else 0 end as fk_grade,
+ case when n > 0 then round(0.4 * (per + 100 * (many / n)), 6) else 0 end as fog, case when n > 0 and many > 0 then round(1.043 * sqrt(many * (30 / s)) + 3.1291, 6) else 0 end as smog,
+ case when n > 0 then round(0.0588 * (letters / n * 100) - 0.296 * (s / n * 100) - 15.8, 6) else 0 end as coleman_liau, case when n > 0 then round(4.71 * (solid / n) + 0.5 * per - 21.43, 6) else 0 end as ari from g2""",
         _F,
-        f"s1 as (select id, len(e)::double as w, greatest(1, len(regexp_extract_all(a,'[.!?]+'))) as s, coalesce(list_sum(list_transform(list_transform(e, lambda x: lower(x)), lambda x: {_SYL})), 0)::double as y, coalesce(list_sum(list_transform(e, lambda x: length(x))), 0)::double as c from f1)",
+        _READ,
     )
 )
 def readability(spark, d):
-    rows = _features(spark, d)
-    total = lambda f: F.aggregate("e", F.lit(0), lambda s, x: s + f(x))
-    rows = rows.select("id", F.size("e").alias("w"), F.greatest(F.lit(1), F.regexp_count("a", F.lit("[.!?]+"))).alias("s"), total(lambda x: T.syllables(F.lower(x))).alias("y"), total(F.length).alias("c"))
-    w, s, y, c = (F.col(k).cast("double") for k in "wsyc")
-    score = lambda v: F.when(F.col("w") == 0, 0.0).otherwise(_r6(v))
-    return rows.select("id", score(206.835 - 1.015 * w / s - 84.6 * y / w).alias("flesch"), score(0.39 * w / s + 11.8 * y / w - 15.59).alias("fk_grade"), score(4.71 * c / w + 0.5 * w / s - 21.43).alias("ari"))
+    return X.with_arrays(_records(spark, d), "human_answer").select("id", *X.readability())
 
 
 @query(
     _sql(
-        """select id, count(*) as types, sum(c)::bigint as tokens, round(count(*) / sum(c), 6) as ttr, round(count(*) / sqrt(sum(c)), 6) as root_ttr,
+        """select id, count(*) as types, sum(c)::bigint as tokens, round(count(*) / sum(c), 6) as ttr, round(count(*) / sqrt(sum(c)), 6) as root_ttr, round(count(*) / sqrt(2 * sum(c)), 6) as corrected_ttr,
  count(*) filter (c = 1) as hapax, count(*) filter (c = 2) as dislegomena, max(c) as max_frequency, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) as entropy from c1 group by id""",
         _F,
-        "c0 as (select id, lower(unnest(t)) as x from f1), c1 as (select id, x, count(*) as c from c0 group by 1, 2)",
+        f"c0 as (select id, lower(unnest(list_filter(t, lambda x: regexp_matches(x, '{X.LEXICAL}')))) as x from f1), c1 as (select id, x, count(*) as c from c0 group by 1, 2)",
     )
 )
 def lexical_diversity(spark, d):
-    """Type and token measures from exploded counts, so that long texts stay cheap."""
-    counts = _features(spark, d).select("id", F.explode("t").alias("x")).select("id", F.lower("x").alias("x")).groupBy("id", "x").agg(F.count("*").alias("c"))
+    """Type and token measures of lexical tokens, from exploded counts, so that long texts
+    stay cheap; a text without such tokens has no row."""
+    words = X.lexical(T.tokens(F.col("human_answer")))
+    counts = _records(spark, d).select("id", F.explode(words).alias("x")).groupBy("id", "x").agg(F.count("*").alias("c"))
     n = F.sum("c")
     return counts.groupBy("id").agg(
-        F.count("*").alias("types"), n.alias("tokens"), _r6(F.count("*") / n).alias("ttr"), _r6(F.count("*") / F.sqrt(n)).alias("root_ttr"), F.count_if(F.col("c") == 1).alias("hapax"),
-        F.count_if(F.col("c") == 2).alias("dislegomena"), F.max("c").alias("max_frequency"), _r6(F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy"),
+        F.count("*").alias("types"), n.alias("tokens"), _r6(F.count("*") / n).alias("ttr"), _r6(F.count("*") / F.sqrt(n)).alias("root_ttr"), _r6(F.count("*") / F.sqrt(2 * n)).alias("corrected_ttr"),
+        F.count_if(F.col("c") == 1).alias("hapax"), F.count_if(F.col("c") == 2).alias("dislegomena"), F.max("c").alias("max_frequency"), _r6(F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy"),
     )
 
 
+@query(_sql("select id, " + ", ".join(f"len(regexp_extract_all(a, '{p}'))::bigint as {n}" for n, p in X.COUNTED.items()) + " from f1", _F))
+def surface_counts(spark, d):
+    return X.with_arrays(_records(spark, d), "human_answer").select("id", *X.counted(X.COUNTED))
+
+
+@query()
+def shape_features(spark, d):
+    """Features that look around or back, and those of tokens, words and sentences."""
+    return X.with_arrays(_records(spark, d), "human_answer").select("id", *X.counted(X.LOOKING), *X.token_counts(), *X.word_features(), *X.sentence_features())
+
+
 LONG = """long as (select id, bucket_id, 'chars' as feature, length(human_answer)::double as value from records union all select id, bucket_id, 'tokens', n_tokens::double from records
  union all select id, bucket_id, 'newlines', (length(human_answer)-length(replace(human_answer,chr(10),'')))::double from records)"""
 _Q = "list_sort(list(value))[(round_even((count(*)-1)*{0}, 0))::bigint + 1] as q{1}"
