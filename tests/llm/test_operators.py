@@ -320,6 +320,20 @@ def test_warc_revisits(spark):
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
 
 
+def test_warc_against_sql(spark, sf):
+    import duckdb
+
+    from tessera.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from read_parquet('{sf}/pages.parquet')")
+    want = con.sql(queries.oracle_sql()["op8_warc_revisits"])
+    got = queries.op8_warc_revisits(spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = sorted(map(repr, map(tuple, got.select(*want.columns).collect())))
+    assert rows == sorted(map(repr, want.fetchall())) and {r.status for r in got.collect()} >= {"resolved", "no-earlier-response"}
+
+
 def test_warc_round_trip(spark, tmp_path):
     http = b'HTTP/1.1 200 OK\r\nETag: "e"\r\nContent-Type: text/html\r\n\r\n<p>hi</p>'
     fields = {"WARC-Type": "response", "WARC-Target-URI": "http://a.example/", "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Record-ID": "<urn:1>"}
