@@ -10,13 +10,17 @@ ever meet in one task.
 
 What fills the template are slots.  Of the slots that occur once a page, the one
 that holds the article -- an article or main element, else the deepest with most
-of the text outside links -- is the host's content slot, and its text is
-extracted block by block.  A page without it, or a host whose pages show no
-template, is judged by its own elements under the same rule.
+of the text outside links -- is the page's content slot, and its text is taken
+block by block.  Slots that most of a host's pages agree on are the host's, and
+add to those of each page without article.
+
+Boilerplate names skip an element by whole class tokens and whole ids alone, and
+not if it holds the main element, the only articles or most of the text.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its
 own; repeated rows are pages of their own; a page with no text outside
-boilerplate gives an empty text; cut-off markup ends where the page ends; extra
+boilerplate elements gives an empty text, but one whose boilerplate names cover
+most of its text is read; cut-off markup ends where the page ends; extra
 columns are ignored.
 """
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,18 +47,22 @@ BROADCAST_HOSTS = 100_000
 
 # Elements by role.
 RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
-SKIPPED = RAW | frozenset("head nav footer aside form button select dialog menu".split())
+SKIPPED = RAW | frozenset("head nav footer aside button select dialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|promo|promotion|sponsor|sponsored|sidebar|side|widget|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|topbar|comments?|commentlist|comment-list|respond|reply|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|toolbar|pagination|pager|skip-link)(?=$|[\s_\d-])",
-    re.I,
+#: A class token, or a container's whole id, is boilerplate if its parts are among these words and the
+#: qualifiers and one at least is a word; a part of a longer name says nothing.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement adsense banner promo promotion sponsor sponsored sidebar side widget menu navbar navigation nav breadcrumb breadcrumbs footer masthead topbar comments commentlist respond reply replies disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe signup share sharing social related recommended toolbar pagination pager".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
+QUALIFIERS = frozenset("alert area bar block box buttons comment container link links list notice notices posts skip wrapper".split())
+CONTAINERS = frozenset("body center div dl html main article aside ol section table tbody td tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 _OWN_HEADER = frozenset(("article", "main"))
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -62,47 +71,45 @@ _RAW_END = {name: re.compile(rf"</{name}\s*(?:>|\Z)", re.I) for name in RAW}
 
 
 class _Node:
-    __slots__ = ("block", "key", "linked", "name", "skip", "text")
+    __slots__ = ("all", "articles", "depth", "hard", "key", "kids", "linked", "link", "mains", "name", "own", "parent", "skip", "soft", "text")
 
-    def __init__(self, name: str, key: int, skip: bool, block: int):
-        self.name, self.key, self.skip, self.block = name, key, skip, block
-        self.text = self.linked = 0
+    def __init__(self, name: str, key: int, parent: _Node | None):
+        self.name, self.key, self.parent = name, key, parent
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.hard = self.soft = self.skip = False
+        self.link = name == "a" or (parent is not None and parent.link)
+        self.kids: list[_Node] = []
+        self.own = self.all = self.text = self.linked = self.mains = self.articles = 0
 
 
 def _child_key(parent: int, label: str) -> int:
     return xxhash.xxh64_intdigest(label, parent & 0xFFFFFFFFFFFFFFFF)
 
 
+def _boilerplate(token: str) -> bool:
+    parts = [x for part in re.split("[-_]", token.lower()) if (x := part.strip("0123456789"))]
+    return any(x in BOILERPLATE for x in parts) and all(x in BOILERPLATE or x in QUALIFIERS for x in parts)
+
+
+_BREAK = _Node("div", 0, None)  # ends a block, as the end tag of one does wherever it stands
+
+
 class Page:
-    """One pass over a page: its elements, and the blocks inside the wanted one."""
-
-    def __init__(self, source: str, wanted: int | None = None):
-        self.found: dict[int, list] = {}  # key -> [count, text, linked, depth, is_article, skip]
-        self.blocks: list[str] = []
-        self._wanted = wanted
-        self._stack = [_Node("", 1, False, 0)]
-        self._inside = 0  # depth of the wanted element, while in it
-        self._parts: list[str] = []
-        self._parse(source)
+    """The elements of a page, from one pass over it, and its text by blocks."""
 
-    def _flush(self) -> None:
-        if self._parts:
-            block = " ".join("".join(self._parts).split())
-            if block:
-                self.blocks.append(block)
-            self._parts = []
+    def __init__(self, source: str):
+        self._root = _Node("", 1, None)
+        self._stack = [self._root]
+        self.nodes = [self._root]
+        self._events: list[tuple[_Node, str | bool]] = []  # True opens, False closes, else text
+        self._parse(source)
+        self._judge()
 
     def _text(self, raw: str) -> None:
         top = self._stack[-1]
-        if top.skip:
-            return
         text = html_lib.unescape(raw) if "&" in raw else raw
-        size = len(text.strip())
-        top.text += size
-        if self._inside:
-            self._parts.append(text)
-        if size and any(n.name == "a" for n in self._stack[-3:]):
-            top.linked += size
+        top.own += len(text.strip())
+        self._events.append((top, text))
 
     def _open(self, name: str, attrs: str) -> None:
         stack = self._stack
@@ -117,42 +124,21 @@ class Page:
                     break
         values = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
         top = stack[-1]
-        skip = top.skip or name in SKIPPED or values.get("role", "").lower() in ROLES
-        if not skip and values and name not in ("html", "body"):
-            skip = bool(BOILERPLATE.search(values.get("class", "")) or BOILERPLATE.search(values.get("id", "")))
-        if not skip and name == "header" and not any(n.name in _OWN_HEADER for n in stack):
-            skip = True
         label = f"{name}.{values.get('class', '')}#{values.get('id', '') if not re.search(r'[0-9]', values.get('id', '')) else ''}"
-        key = _child_key(top.key, label)
-        if name in BLOCKS:
-            self._flush()
-        elif name == "br" and self._inside:
-            self._parts.append(" ")
-        seen = self.found.get(key)
-        if seen is None:
-            self.found[key] = [1, 0, 0, len(stack), name in _OWN_HEADER, skip]
-        else:
-            seen[0] += 1
-        if name in VOID:
-            return
-        stack.append(_Node(name, key, skip, name in BLOCKS))
-        if key == self._wanted and not self._inside:
-            self._inside = len(stack) - 1
+        node = _Node(name, _child_key(top.key, label), top)
+        role = values.get("role", "").lower()
+        node.hard = name in SKIPPED or role in ROLES or (name == "header" and not any(n.name in _OWN_HEADER for n in stack))
+        node.soft = name == "form" or role == "form"
+        if values and name not in _OWN_HEADER and name not in HEADINGS and name not in ("html", "body"):
+            node.soft = node.soft or any(map(_boilerplate, values.get("class", "").split())) or (name in CONTAINERS and _boilerplate(values.get("id", "").strip()))
+        self.nodes.append(node)
+        top.kids.append(node)
+        self._events.append((node, True))
+        if name not in VOID:
+            stack.append(node)
 
     def _pop(self) -> None:
-        node = self._stack.pop()
-        parent = self._stack[-1]
-        if node.block:
-            self._flush()
-        if self._inside == len(self._stack):
-            self._flush()
-            self._inside = 0
-        if not node.skip:
-            parent.text += node.text
-            parent.linked += node.linked
-            entry = self.found[node.key]
-            entry[1] += node.text
-            entry[2] += node.linked
+        self._events.append((self._stack.pop(), False))
 
     def _close(self, name: str) -> None:
         stack = self._stack
@@ -180,7 +166,7 @@ class Page:
             name = name.lower()
             if tag[1]:
                 if name in BLOCKS:
-                    self._flush()
+                    self._events.append((_BREAK, False))
                 self._close(name)
                 continue
             self._open(name, tag[3])
@@ -191,34 +177,91 @@ class Page:
                     self._pop()
         while len(self._stack) > 1:
             self._pop()
-        self._flush()
 
-    def own_slot(self) -> int | None:
+    def _judge(self) -> None:
+        """Which elements are skipped, and the text outside them.
+
+        A boilerplate name does not skip an element that holds a main element, the
+        page's only articles or, on a page without either, most of its text.
+        """
+        for n in reversed(self.nodes):
+            n.all += n.own
+            n.mains += n.name == "main"
+            n.articles += n.name == "article"
+            if n.parent is not None and not n.hard:
+                n.parent.all += n.all
+                n.parent.mains += n.mains
+                n.parent.articles += n.articles
+        under: set[int] = set()
+        loose = 0
+        for n in self.nodes:
+            if n.hard or n.soft or (n.parent is not None and id(n.parent) in under):
+                under.add(id(n))
+            else:
+                loose += n.name in _OWN_HEADER and n.all > 0
+        for n in self.nodes:
+            spared = n.mains or (not loose and (n.articles or 2 * n.all > self._root.all))
+            n.skip = n.hard or (n.soft and not spared) or (n.parent is not None and n.parent.skip)
+        for n in reversed(self.nodes):
+            if not n.skip:
+                n.text += n.own
+                n.linked += n.own if n.link else 0
+                if n.parent is not None:
+                    n.parent.text += n.text
+                    n.parent.linked += n.linked
+
+    def roots(self) -> list[_Node]:
         """The content slot by this page's elements alone."""
-        rows = [(k, v[4], v[1] - v[2], v[3]) for k, v in self.found.items() if v[0] == 1 and not v[5] and v[1] > 0]
-        return _choose(rows)
-
-
-def _choose(rows: list[tuple[int, bool, int, int]]) -> int | None:
-    """rows: (key, is an article, text outside links, depth)."""
-    if articles := [r for r in rows if r[1] and r[2] > 0]:
-        return max(articles, key=lambda r: (r[2], -r[3], r[0]))[0]
-    most = max((r[2] for r in rows), default=0)
-    if most <= 0:
-        return max(rows, key=lambda r: (r[3], r[0]))[0] if rows else None
-    return max((r for r in rows if r[2] >= DEEPER * most), key=lambda r: (r[3], r[2], r[0]))[0]
-
-
-def extract(source: str | None, slot: int | None = None) -> str:
-    """The main text of one page; ``slot``: the host's content slot, if known."""
+        count = Counter(n.key for n in self.nodes)
+        once = [n for n in self.nodes if count[n.key] == 1 and not n.skip and n.text > 0]
+        if articles := [n for n in once if n.name in _OWN_HEADER and n.text > n.linked]:
+            return [max(articles, key=lambda n: (n.text - n.linked, -n.depth, n.key))]
+        most = max((n.text - n.linked for n in once), default=0)
+        if most <= 0:
+            return [max(once, key=lambda n: (n.depth, n.key))] if once else []
+        return [max((n for n in once if n.text - n.linked >= DEEPER * most), key=lambda n: (n.depth, n.text - n.linked, n.key))]
+
+    def blocks(self, roots: list[_Node]) -> list[tuple[int, str]]:
+        """(token, text) of each block inside ``roots``: the token is of the text in its place."""
+        out: list[tuple[int, str]] = []
+        parts: list[str] = []
+        wanted, inside, place = {id(n) for n in roots}, 0, 0
+
+        def flush() -> None:
+            if parts:
+                if block := " ".join("".join(parts).split()):
+                    out.append((_child_key(place, "=" + block), block))
+                parts.clear()
+
+        whole = self._root in roots
+        for node, what in self._events:
+            if what is True:
+                if node.name in BLOCKS:
+                    flush()
+                elif node.name == "br" and (inside or whole) and not node.skip:
+                    parts.append(" ")
+                inside += id(node) in wanted
+            elif what is False:
+                if node.name in BLOCKS or id(node) in wanted:
+                    flush()
+                inside -= id(node) in wanted
+            elif (inside or whole) and not node.skip:
+                if not parts:
+                    place = node.key
+                parts.append(what)
+        flush()
+        return out
+
+
+def extract(source: str | None, slots: frozenset[int] = frozenset()) -> str:
+    """The main text of one page; ``slots``: the host's content slots, if known."""
     if not source:
         return ""
-    if slot is not None:
-        page = Page(source, slot)
-        if slot in page.found and not page.found[slot][5]:
-            return "\n".join(page.blocks)
-    own = Page(source).own_slot()
-    return "\n".join(Page(source, own).blocks) if own is not None else ""
+    page = Page(source)
+    roots = page.roots()
+    if slots and not any(n.name in _OWN_HEADER for n in roots):
+        roots += [n for n in page.nodes if n.key in slots and not n.skip and n not in roots]
+    return "\n".join(block for _, block in page.blocks(roots))
 
 
 def _signed(x: int) -> int:
@@ -226,7 +269,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-_TOKENS = "host string, key long, pages long, vector long, total long, clean long, depth long, is_article boolean, skip boolean"
+_TOKENS = "host string, key long, pages long, vector long, total long, clean long, roots long, skip boolean"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,18 +278,28 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         rows = [(h, _signed(k), *v) for (h, k), v in sums.items()]
-        types = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.bool_()]
+        types = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
         names = [p.split()[0] for p in _TOKENS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     for batch in batches:
         for host, seed, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for key, (count, text, linked, depth, article, skip) in Page(source).found.items():
-                at = sums.setdefault((host, key), [0, 0, 0, 0, depth, article, skip])
+            page = Page(source)
+            roots = {id(n) for n in page.roots()}
+            found: dict[int, list] = {}
+            for n in page.nodes:
+                at = found.setdefault(n.key, [0, 0, False, n.skip])
+                at[0] += 1
+                at[1] += n.text - n.linked
+                at[2] = at[2] or id(n) in roots
+            for key, (count, clean, root, skip) in found.items():
+                at = sums.setdefault((host, key), [0, 0, 0, 0, 0, False])
                 at[0] += 1
                 at[1] += seed * count
                 at[2] += count
-                at[3] += text - linked
+                at[3] += clean
+                at[4] += root
+                at[5] = at[5] or skip
         if len(sums) > 200_000:
             yield out()
             sums.clear()
@@ -260,22 +313,19 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot): the content slot of each host whose pages show a template."""
+    """(host, slots): the content slots of each host whose pages show a template."""
     hosted = _hosted(pages)
     rows = hosted.select("host", F.xxhash64("page_id", "url", F.length("html")).bitwiseAND((1 << 40) - 1).alias("seed"), "html")
     tokens = rows.mapInArrow(_tokens, _TOKENS).groupBy("host", "key").agg(
         F.sum("pages").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("total").alias("total"),
-        F.sum("clean").alias("clean"), F.max("depth").alias("depth"), F.max("is_article").alias("is_article"), F.max("skip").alias("skip"),
+        F.sum("clean").alias("clean"), F.sum("roots").alias("roots"), F.max("skip").alias("skip"),
     )
     size = hosted.groupBy("host").agg(F.count("*").alias("of"))
-    frequent = tokens.join(size, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("of")))
+    frequent = tokens.where(F.col("pages") >= LEAST_PAGES).join(size, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
     classes = frequent.groupBy("host", "pages", "vector").agg(F.count("*").alias("members"))
     valid = frequent.join(classes.where(F.col("members") >= LEAST_CLASS), ["host", "pages", "vector"])
-    once = valid.where((F.col("total") == F.col("pages")) & ~F.col("skip") & (F.col("clean") > 0))
-    best = once.withColumn("articles", F.max("is_article").over(Window.partitionBy("host"))).where("is_article or not articles")
-    best = best.withColumn("most", F.max("clean").over(Window.partitionBy("host"))).where(F.col("clean") >= DEEPER * F.col("most"))
-    rank = F.when(F.col("is_article"), -F.col("depth")).otherwise(F.col("depth"))
-    return best.groupBy("host").agg(F.max_by("key", F.struct(rank, F.col("clean"), F.col("key"))).alias("slot"))
+    once = valid.where((F.col("total") == F.col("pages")) & ~F.col("skip") & (F.col("clean") > 0) & (2 * F.col("roots") > F.col("pages")))
+    return once.groupBy("host").agg(F.collect_set("key").alias("slots"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -285,11 +335,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     slots, _ = common.written(templates(pages), "templates")
     if slots.count() <= BROADCAST_HOSTS:
         slots = F.broadcast(slots)
-    rows = _hosted(pages).join(slots, "host", "left").select("page_id", "url", "html", "slot")
+    rows = _hosted(pages).join(slots, "host", "left").select("page_id", "url", "html", "slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h, None if s is None else s & 0xFFFFFFFFFFFFFFFF) for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(h, frozenset(k & 0xFFFFFFFFFFFFFFFF for k in s or ())) for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")

@@ -290,6 +290,20 @@ def test_html_without_article_element():
     page = "<body><div class=menu><ul><li><a href=a>A</a></li></ul></div><div id=content><h2>Head</h2><p>" + "Long text here. " * 20 + "</p><p>Tail &am</p></div></body>"
     assert extract.extract(page) == "Head\n" + ("Long text here. " * 20).strip() + "\nTail &am"
 
+def test_html_boilerplate_names_match_whole_tokens(spark):
+    cases = {
+        '<body><nav>x</nav><article class="post has-sidebar"><h2 id="related-work">R</h2><p>T <span class="alert">word</span></p><div class="ad">Buy</div></article></body>': "R\nT word",
+        '<body><main class="sidebar-right"><section id="social-impact"><p>a</p></section><p id="side-effects">b</p></main><aside>z</aside></body>': "a\nb",
+        '<body><div id=content class="no-sidebar"><p>one two</p></div><div class="cookie-notice">We</div></body>': "one two",
+        '<body><div class="sidebar"><main><p>held</p></main></div></body>': "held",
+        '<body><div class="sidebar"><p>most of the text by far</p></div><nav>less</nav></body>': "most of the text by far",
+        '<body><div class="related"><article>teaser</article></div><article>main text</article></body>': "main text",
+    }
+    for page, text in cases.items():
+        assert extract.extract(page) == text
+    frame = spark.createDataFrame([(i, f"http://h.example/{i}", page.replace("</p>", f" {i}</p>")) for page in [next(iter(cases))] for i in range(6)], "page_id long, url string, html string")
+    assert {r.text for r in extract.extract_pages(frame).collect()} == {f"R\nT word {i}" for i in range(6)}
+
 
 def test_warc_revisits(spark):
     rng = random.Random(4)
