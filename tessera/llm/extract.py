@@ -8,11 +8,12 @@ into the host's template.  Vectors are compared by an additive hash -- the sum o
 page hash times count -- so they are aggregated like any sum and no host's pages
 ever meet in one task.
 
-What fills the template are slots.  Of the slots that occur once a page, the one
-that holds the article -- an article or main element, else the deepest with most
-of the text outside links -- is the page's content slot, and its text is taken
-block by block.  Slots that most of a host's pages agree on are the host's, and
-add to those of each page without article.
+What fills the template are slots.  The content slots of a page are its article
+and main elements together, if they hold half of the text outside links or more;
+else the deepest container beside which no other holds text, so nothing that is
+read is left out but lists of links.  Slots that most of a host's pages agree on
+are the host's, and add to those of each page without article.  Text is taken
+block by block.
 
 Boilerplate names skip an element by whole class tokens and whole ids alone, and
 not if it holds the main element, the only articles or most of the text.
@@ -28,7 +29,6 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,8 +40,6 @@ from pyspark.sql import functions as F
 SUPPORT, LEAST_PAGES = 0.5, 2
 #: Tokens in a valid class, at least.
 LEAST_CLASS = 2
-#: Share of the best slot's text that a deeper slot must hold.
-DEEPER = 0.6
 #: About 200 bytes a row: a broadcast of at most some 20 MB.
 BROADCAST_HOSTS = 100_000
 
@@ -71,11 +69,10 @@ _RAW_END = {name: re.compile(rf"</{name}\s*(?:>|\Z)", re.I) for name in RAW}
 
 
 class _Node:
-    __slots__ = ("all", "articles", "depth", "hard", "key", "kids", "linked", "link", "mains", "name", "own", "parent", "skip", "soft", "text")
+    __slots__ = ("all", "articles", "hard", "key", "kids", "linked", "link", "mains", "name", "own", "parent", "skip", "soft", "text")
 
     def __init__(self, name: str, key: int, parent: _Node | None):
         self.name, self.key, self.parent = name, key, parent
-        self.depth = parent.depth + 1 if parent is not None else 0
         self.hard = self.soft = self.skip = False
         self.link = name == "a" or (parent is not None and parent.link)
         self.kids: list[_Node] = []
@@ -211,15 +208,23 @@ class Page:
                     n.parent.linked += n.linked
 
     def roots(self) -> list[_Node]:
-        """The content slot by this page's elements alone."""
-        count = Counter(n.key for n in self.nodes)
-        once = [n for n in self.nodes if count[n.key] == 1 and not n.skip and n.text > 0]
-        if articles := [n for n in once if n.name in _OWN_HEADER and n.text > n.linked]:
-            return [max(articles, key=lambda n: (n.text - n.linked, -n.depth, n.key))]
-        most = max((n.text - n.linked for n in once), default=0)
-        if most <= 0:
-            return [max(once, key=lambda n: (n.depth, n.key))] if once else []
-        return [max((n for n in once if n.text - n.linked >= DEEPER * most), key=lambda n: (n.depth, n.text - n.linked, n.key))]
+        """The content slots by this page's elements alone: together they hold all its main text."""
+        tops, inside = [], set()
+        for n in self.nodes:
+            if n.parent is not None and id(n.parent) in inside:
+                inside.add(id(n))
+            elif n.name in _OWN_HEADER and not n.skip and n.text:
+                tops.append(n)
+                inside.add(id(n))
+        if tops and 2 * sum(n.text - n.linked for n in tops) >= self._root.text - self._root.linked:
+            return tops
+        node = self._root
+        while not node.own:
+            told = [k for k in node.kids if not k.skip and k.text and not (k.name in CONTAINERS and k.text == k.linked)]
+            if len(told) != 1 or told[0].name not in CONTAINERS:
+                break
+            node = told[0]
+        return [node] if node.text else []
 
     def blocks(self, roots: list[_Node]) -> list[tuple[int, str]]:
         """(token, text) of each block inside ``roots``: the token is of the text in its place."""

@@ -304,6 +304,23 @@ def test_html_boilerplate_names_match_whole_tokens(spark):
     frame = spark.createDataFrame([(i, f"http://h.example/{i}", page.replace("</p>", f" {i}</p>")) for page in [next(iter(cases))] for i in range(6)], "page_id long, url string, html string")
     assert {r.text for r in extract.extract_pages(frame).collect()} == {f"R\nT word {i}" for i in range(6)}
 
+def test_html_takes_all_content_slots(spark):
+    cases = {
+        "<div id=content><h2>Head</h2><p>one long paragraph {i}</p></div>": "Head\none long paragraph {i}",
+        "<body><ul class=m><li><a href=a>A</a></li></ul><section class=a><p>" + "x " * 65 + "{i}</p></section><section class=b><p>" + "y " * 35 + "{i}</p></section></body>": None,
+        "<body><article class=x><p>first {i}</p></article><div><article class=y>second {i}</article></div></body>": "first {i}\nsecond {i}",
+        "<body><article>wee {i}</article><div class=t><p>far more text than in the article {i}</p></div></body>": "wee {i}\nfar more text than in the article {i}",
+    }
+    made, expected = [], Counter()
+    for k, (page, text) in enumerate(cases.items()):
+        for i in range(5):
+            made.append((k * 100 + i, f"http://h{k}.example/{i}", page.format(i=i)))
+            own = extract.extract(made[-1][2])
+            assert own == text.format(i=i) if text else len(own.split()) in (102, 103)
+            expected[(made[-1][0], own)] += 1
+    frame = spark.createDataFrame(made, "page_id long, url string, html string")
+    assert Counter((r.page_id, r.text) for r in extract.extract_pages(frame).collect()) == expected
+
 
 def test_warc_revisits(spark):
     rng = random.Random(4)
