@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns plus character Markov models, in SQL functions.
 
 Two first-order Markov models over characters are trained on labelled samples:
-random strings (keys, tokens, digests) and ordinary identifiers.  Every long run
-of key characters in a text is scored by the sum over its character pairs of
-log P_random - log P_ordinary; it is a secret if the sum and the mean per pair
-pass their thresholds.  Spans are in code points, end exclusive.
+random strings (keys, tokens, digests) and ordinary identifiers.  In every run of
+key characters the stretches are sought in which the sum over character pairs of
+log P_random - log P_ordinary is largest; one is a secret if its sum and its mean
+per pair pass their thresholds.  So a key in a path, an address or after a name is
+found for itself, and several keys in a run are all found.  A secret is widened to
+the whole letters and digits around its ends.  Spans are in code points, end
+exclusive.
 
-Kinds, in order: assign, access, hex (the base patterns) and markov, which only
-adds spans that overlap no base span.
+Kinds, in order: assign, access, hex (the base patterns) and markov, of which the
+parts outside base spans are added.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different
 base kinds are all listed; redaction joins overlapping spans into one mark;
@@ -30,13 +33,15 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 # Both equal the unbounded run, kept only from its least length up.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-#: Runs that the Markov models judge.
-RUN = "[A-Za-z0-9+/_=-]{20,}"
+#: Runs in which the Markov models look for secrets; of shorter ones few could reach MIN_SUM.
+RUN = "[A-Za-z0-9+/_=-]{12,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Least mean and least sum of the log-likelihood ratio, in nats.
 MIN_MEAN = 0.9
 MIN_SUM = 24.0
+#: A stretch ends where its sum has fallen by so many nats.
+DROP = 12.0
 MARK = "[REDACTED]"
 
 # Words from which ordinary identifiers of the training sample are made.
@@ -104,17 +109,39 @@ def pair_scores(n: int = 4_000, seed: int = 11, alpha: float = 0.5) -> tuple[flo
     return tuple(round(r - o, 4) for r, o in zip(*logs, strict=True))
 
 
-def markov_score(run: Column) -> Column:
-    """(sum, pairs) of a run of ALPHABET characters."""
+_STRETCHES = "array<struct<low:int,high:int>>"
+
+
+def stretches(run: Column) -> Column:
+    """Places (low, high), end exclusive, of the secret stretches of a run of ALPHABET characters.
+
+    One pass: the sum starts anew where it falls to zero or ``DROP`` below its
+    best, and its best stretch before that is judged.
+    """
     table = F.expr("array(" + ",".join(f"{x}D" for x in pair_scores()) + ")")
     size = len(ALPHABET)
     place = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
-    def total(p: Column) -> Column:
-        step = lambda s, i: s + F.element_at(table, F.get(p, i - 1) * size + F.get(p, i) + 1)
-        return F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(0.0), step)
+    def judged(acc: Column) -> Column:
+        good = (acc["best"] >= MIN_SUM) & (acc["best"] >= MIN_MEAN * (acc["high"] - 1 - acc["low"]))
+        return F.when(good, F.array_append(acc["out"], F.struct(acc["low"].alias("low"), acc["high"].alias("high")))).otherwise(acc["out"])
 
-    return F.element_at(F.transform(F.array(place), total), 1)
+    def found(p: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            ratio = F.element_at(table, F.get(p, i - 1) * size + F.get(p, i) + 1)
+            fresh = acc["sum"] <= 0
+            total, start = F.when(fresh, ratio).otherwise(acc["sum"] + ratio), F.when(fresh, i - 1).otherwise(acc["start"])
+            more = total > acc["best"]
+            ends = total <= F.greatest(acc["best"] - DROP, F.lit(0.0))
+            return F.struct(
+                F.when(ends, 0.0).otherwise(total).alias("sum"), start.alias("start"), F.when(ends, 0.0).when(more, total).otherwise(acc["best"]).alias("best"),
+                F.when(more, start).otherwise(acc["low"]).alias("low"), F.when(more, i + 1).otherwise(acc["high"]).alias("high"), F.when(ends, judged(acc)).otherwise(acc["out"]).alias("out"),
+            )
+
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0.0).alias("best"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.array().cast(_STRETCHES).alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), zero, step, judged)
+
+    return F.element_at(F.transform(F.array(place), found), 1)
 
 
 _SPANS = "array<struct<start:int,end:int,kind:int,text:string>>"
@@ -152,19 +179,52 @@ def base_spans(text: Column) -> Column:
 
 
 def markov_spans(text: Column) -> Column:
-    def secret(span: Column) -> Column:
-        total = markov_score(span["text"])
-        return (total >= MIN_SUM) & (total >= MIN_MEAN * (F.length(span["text"]) - 1))
+    """Secret stretches of all runs, each widened to whole letters and digits; may overlap."""
+
+    def within(span: Column) -> Column:
+        def widened(s: Column) -> Column:
+            run, high = span["text"], s["high"]
+            inner = F.substring(run, s["low"] + 1, high - s["low"])
+            before = F.length(F.regexp_extract(F.substring(run, F.lit(1), s["low"]), "[A-Za-z0-9]*$", 0))
+            after = F.length(F.regexp_extract(F.substring(run, high + 1, F.length(run)), "^[A-Za-z0-9]*", 0))
+            # The last letter of a word and its separator belong to the word.
+            head = F.when(before > 0, F.length(F.regexp_extract(inner, "^[A-Za-z0-9]?[/_=-]+", 0))).otherwise(0)
+            tail = F.when(after > 0, F.length(F.regexp_extract(inner, "[/_=-]+[A-Za-z0-9]?$", 0))).otherwise(0)
+            low = s["low"] + F.when(head > 0, head).otherwise(-before)
+            high = high + F.when(tail > 0, -tail).otherwise(after)
+            return F.struct((span["start"] + low).alias("start"), (span["start"] + high).alias("end"), F.lit(3).alias("kind"), F.substring(span["text"], low + 1, high - low).alias("text"))
+
+        return F.transform(stretches(span["text"]), widened)
+
+    return F.flatten(F.transform(_located(text, RUN, 3), within)).cast(_SPANS)
+
+
+def _outside(spans: Column, base: Column) -> Column:
+    """The parts of ``spans`` that no span before them and none of ``base`` covers; both by start."""
+
+    def step(acc: Column, m: Column) -> Column:
+        low = F.greatest(m["start"], acc["at"])
+
+        def cut(part: Column, b: Column) -> Column:
+            gap = F.struct(part["at"].alias("start"), F.least(b["start"], m["end"]).alias("end"), F.lit(3).alias("kind"), F.lit("").alias("text"))
+            out = F.when(gap["start"] < gap["end"], F.array_append(part["out"], gap)).otherwise(part["out"])
+            return F.struct(F.greatest(part["at"], b["end"]).alias("at"), out.alias("out"))
+
+        end = F.struct(m["end"].alias("start"), m["end"].alias("end"), F.lit(3).alias("kind"), F.lit("").alias("text"))
+        zero = F.struct(low.alias("at"), acc["out"].alias("out"))
+        near = F.filter(base, lambda b: (b["start"] < m["end"]) & (low < b["end"]))
+        out = F.aggregate(F.array_append(near, end), zero, cut)["out"]
+        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), out.alias("out"))
 
-    return F.filter(_located(text, RUN, 3), secret)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    return F.aggregate(spans, zero, step)["out"]
 
 
 def with_spans(docs: DataFrame, name: str = "text") -> DataFrame:
     """``docs`` plus ``_base`` and ``_all`` span arrays."""
     text = common.text_or_empty(name)
     rows = docs.withColumn("_base", base_spans(text)).withColumn("_markov", markov_spans(text))
-    clear = lambda m: ~F.exists("_base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))
-    both = F.concat("_base", F.filter("_markov", clear))
+    both = F.when(F.size("_markov") > 0, F.concat("_base", _outside(F.col("_markov"), F.col("_base")))).otherwise(F.col("_base"))
     return rows.withColumn("_all", F.array_sort(both, lambda a, b: (a["start"] - b["start"]) * 8 + a["kind"] - b["kind"])).drop("_markov")
 
 

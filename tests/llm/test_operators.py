@@ -404,6 +404,25 @@ def test_secrets(spark, docs, none):
     assert secrets.redact(docs).columns == docs.columns and secrets.scan(none).count() == 0
     assert any("markov" in r.spans for r in secrets.scan(docs).collect())
 
+def test_secrets_inside_runs_and_beside_base_spans(spark):
+    rng = random.Random(21)
+    letters = secrets.ALPHABET[:62]
+    key = lambda n: "".join(rng.choices(letters, k=n))
+    texts, keys = [], []
+    for _ in range(40):
+        a, b = key(24), key(40)
+        keys.append((a, b))
+        texts.append(f"see https://hooks.example.com/services/hooks/production/deployments/{a} and some_long_setting_name={b} or AKIA{'ABCDEFGHIJKLMNOP'}/{b} end")
+    short = [key(18) for _ in range(40)]
+    plain = ["services/hooks/production/deployments/configuration", "some_long_setting_name=another_default_value", "internationalization"]
+    frame = spark.createDataFrame([*enumerate(texts), *((100 + i, "word " + s) for i, s in enumerate(short)), *((200 + i, p) for i, p in enumerate(plain))], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert sum(a in clean[i] for i, (a, _) in enumerate(keys)) <= 2 and sum(b in clean[i] for i, (_, b) in enumerate(keys)) <= 1
+    whole = [i for i in range(40) if "production/deployments/" in clean[i] and "some_long_setting_name=" in clean[i] and "AKIA" not in clean[i]]
+    assert len(whole) == 40, next(clean[i] for i in range(40) if i not in whole)
+    assert sum(s in clean[100 + i] for i, s in enumerate(short)) <= 8
+    assert [clean[200 + i] for i in range(len(plain))] == plain
+
 
 def test_markov_held_out():
     table, at = secrets.pair_scores(), {c: i for i, c in enumerate(secrets.ALPHABET)}
