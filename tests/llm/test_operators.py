@@ -88,7 +88,15 @@ def test_quality_drops_unlike_text(spark):
     score = {r.doc_id: r.llr for r in quality.score_documents(spark, frame, labels, quality.QualityParams(prior=0.5)).collect()}
     assert max(score[1000 + i] for i in range(6)) < min(score[i] for i in range(400))
 
-
+@pytest.mark.parametrize("n", [40, 800])
+def test_quality_verdict_at_every_size(spark, n):
+    """With production parameters unlike text goes and like text stays, on a small and a large sample."""
+    good = [(i, prose(i, 200), "en", "s", 0, "", "", "") for i in range(n)]
+    junk = [(10_000 + i, prose(90_000 + i, 200).replace(" ", "%%% "), "en", "s", 0, "", "", "") for i in range(4)]
+    frame = spark.createDataFrame(good + junk, DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, n, 2)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.filter_documents(spark, frame, labels).collect()}
+    assert not kept & {10_000 + i for i in range(4)} and len(kept) >= 0.97 * n
 
 
 def test_fingerprints(spark, docs, none):
