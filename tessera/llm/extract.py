@@ -1,7 +1,8 @@
 """HTML extraction by equivalence-class template deduction.
 
 Tokens are elements with their place: the path of element names (with class and
-id) from the root.  Over all pages of a host, each token has an occurrence
+id) from the root; and the blocks of text in the content, headings apart, with
+their place.  Over all pages of a host, each token has an occurrence
 vector: how often each page holds it.  Tokens with equal vectors form an
 equivalence class; classes that enough pages share are valid and nest by path
 into the host's template.  Vectors are compared by an additive hash -- the sum of
@@ -13,7 +14,9 @@ and main elements together, if they hold half of the text outside links or more;
 else the deepest container beside which no other holds text, so nothing that is
 read is left out but lists of links.  Slots that most of a host's pages agree on
 are the host's, and add to those of each page without article.  Text is taken
-block by block.
+block by block, without the texts that stand word for word on every page of the
+slot; where these are over half of a page's text, nothing shows what varies and
+all of it is kept.
 
 Boilerplate names skip an element by whole class tokens and whole ids alone, and
 not if it holds the main element, the only articles or most of the text.
@@ -40,6 +43,8 @@ from pyspark.sql import functions as F
 SUPPORT, LEAST_PAGES = 0.5, 2
 #: Tokens in a valid class, at least.
 LEAST_CLASS = 2
+#: Pages that a template text must occur on, at least.
+LEAST_TEXT = 3
 #: About 200 bytes a row: a broadcast of at most some 20 MB.
 BROADCAST_HOSTS = 100_000
 
@@ -227,15 +232,16 @@ class Page:
         return [node] if node.text else []
 
     def blocks(self, roots: list[_Node]) -> list[tuple[int, str]]:
-        """(token, text) of each block inside ``roots``: the token is of the text in its place."""
+        """(token, text) of each block inside ``roots``: the token is of the text in its place, 0 for a heading."""
         out: list[tuple[int, str]] = []
         parts: list[str] = []
-        wanted, inside, place = {id(n) for n in roots}, 0, 0
+        wanted, inside, place = {id(n) for n in roots}, 0, self._root
 
         def flush() -> None:
             if parts:
                 if block := " ".join("".join(parts).split()):
-                    out.append((_child_key(place, "=" + block), block))
+                    heads = place.name in HEADINGS or (place.parent is not None and place.parent.name in HEADINGS)
+                    out.append((0 if heads else _child_key(place.key, "=" + block), block))
                 parts.clear()
 
         whole = self._root in roots
@@ -252,21 +258,25 @@ class Page:
                 inside -= id(node) in wanted
             elif (inside or whole) and not node.skip:
                 if not parts:
-                    place = node.key
+                    place = node
                 parts.append(what)
         flush()
         return out
 
 
-def extract(source: str | None, slots: frozenset[int] = frozenset()) -> str:
-    """The main text of one page; ``slots``: the host's content slots, if known."""
+def extract(source: str | None, slots: frozenset[int] = frozenset(), texts: frozenset[int] = frozenset()) -> str:
+    """The main text of one page; ``slots``, ``texts``: the host's content slots and template texts, if known."""
     if not source:
         return ""
     page = Page(source)
     roots = page.roots()
     if slots and not any(n.name in _OWN_HEADER for n in roots):
         roots += [n for n in page.nodes if n.key in slots and not n.skip and n not in roots]
-    return "\n".join(block for _, block in page.blocks(roots))
+    blocks = page.blocks(roots)
+    varying = [block for key, block in blocks if key not in texts]
+    if 2 * sum(map(len, varying)) < sum(len(block) for _, block in blocks):
+        varying = [block for _, block in blocks]  # pages so alike show no template
+    return "\n".join(varying)
 
 
 def _signed(x: int) -> int:
@@ -274,7 +284,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-_TOKENS = "host string, key long, pages long, vector long, total long, clean long, roots long, skip boolean"
+_TOKENS = "host string, key long, pages long, vector long, total long, clean long, roots long, skip boolean, is_text boolean"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,22 +293,27 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         rows = [(h, _signed(k), *v) for (h, k), v in sums.items()]
-        types = [pa.string(), *[pa.int64()] * 6, pa.bool_()]
+        types = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.bool_()]
         names = [p.split()[0] for p in _TOKENS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     for batch in batches:
         for host, seed, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             page = Page(source)
-            roots = {id(n) for n in page.roots()}
+            own = page.roots()
+            roots = {id(n) for n in own}
             found: dict[int, list] = {}
             for n in page.nodes:
                 at = found.setdefault(n.key, [0, 0, False, n.skip])
                 at[0] += 1
                 at[1] += n.text - n.linked
                 at[2] = at[2] or id(n) in roots
-            for key, (count, clean, root, skip) in found.items():
-                at = sums.setdefault((host, key), [0, 0, 0, 0, 0, False])
+            elements = len(found)
+            for key, _ in page.blocks(own):
+                if key:
+                    found.setdefault(key, [0, 0, False, False])[0] += 1
+            for i, (key, (count, clean, root, skip)) in enumerate(found.items()):
+                at = sums.setdefault((host, key), [0, 0, 0, 0, 0, False, i >= elements])
                 at[0] += 1
                 at[1] += seed * count
                 at[2] += count
@@ -318,19 +333,29 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slots): the content slots of each host whose pages show a template."""
+    """(host, slots, texts): the content slots and template texts of each host whose pages show a template.
+
+    A text is the template's, not the slot's filling, if it stands in the class of
+    a content slot: on every page that has the slot, and on none else.  Paths are
+    rooted, so an element's class lies inside those of the elements around it.
+    """
+    from . import common
+
     hosted = _hosted(pages)
     rows = hosted.select("host", F.xxhash64("page_id", "url", F.length("html")).bitwiseAND((1 << 40) - 1).alias("seed"), "html")
     tokens = rows.mapInArrow(_tokens, _TOKENS).groupBy("host", "key").agg(
         F.sum("pages").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("total").alias("total"),
-        F.sum("clean").alias("clean"), F.sum("roots").alias("roots"), F.max("skip").alias("skip"),
+        F.sum("clean").alias("clean"), F.sum("roots").alias("roots"), F.max("skip").alias("skip"), F.min("is_text").alias("is_text"),
     )
     size = hosted.groupBy("host").agg(F.count("*").alias("of"))
     frequent = tokens.where(F.col("pages") >= LEAST_PAGES).join(size, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
+    frequent, _ = common.written(frequent, "frequent")
     classes = frequent.groupBy("host", "pages", "vector").agg(F.count("*").alias("members"))
     valid = frequent.join(classes.where(F.col("members") >= LEAST_CLASS), ["host", "pages", "vector"])
-    once = valid.where((F.col("total") == F.col("pages")) & ~F.col("skip") & (F.col("clean") > 0) & (2 * F.col("roots") > F.col("pages")))
-    return once.groupBy("host").agg(F.collect_set("key").alias("slots"))
+    once = valid.where((F.col("total") == F.col("pages")) & ~F.col("skip") & ~F.col("is_text") & (F.col("clean") > 0) & (2 * F.col("roots") > F.col("pages")))
+    texts = frequent.where(F.col("is_text") & (F.col("pages") >= LEAST_TEXT)).join(once.select("host", "pages", "vector").distinct(), ["host", "pages", "vector"], "left_semi")
+    both = once.select("host", "key", "is_text").unionByName(texts.select("host", "key", "is_text"))
+    return both.groupBy("host").agg(F.collect_set(F.expr("if(is_text, null, key)")).alias("slots"), F.collect_set(F.expr("if(is_text, key, null)")).alias("texts"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -340,11 +365,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     slots, _ = common.written(templates(pages), "templates")
     if slots.count() <= BROADCAST_HOSTS:
         slots = F.broadcast(slots)
-    rows = _hosted(pages).join(slots, "host", "left").select("page_id", "url", "html", "slots")
+    rows = _hosted(pages).join(slots, "host", "left").select("page_id", "url", "html", "slots", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h, frozenset(k & 0xFFFFFFFFFFFFFFFF for k in s or ())) for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keys = lambda ks: frozenset(k & 0xFFFFFFFFFFFFFFFF for k in ks or ())
+            texts = [extract(h, keys(s), keys(t)) for h, s, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")
