@@ -53,9 +53,19 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def _located(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, p = _located(spark, path)
+    return system.exists(p)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    system, p = _located(spark, path)
+    system.delete(p, True)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

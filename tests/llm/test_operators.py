@@ -183,12 +183,47 @@ def test_token_files(spark, docs, none, tmp_path):
         tokenfiles.scan(spark, str(tmp_path), 0).count()
     from tessera.llm.queries import FLAT_EOD, _flat_encoder
 
-    counted = Counter((r.doc_id, r.n_tokens) for r in tokenfiles.count_documents(docs, _flat_encoder, FLAT_EOD).collect())
     ids = _flat_encoder()
-    assert counted == Counter((r[0], len(ids(r[1] or ""))) for r in rows())
+    want = Counter((r[0], len(ids(r[1] or ""))) for r in rows())
+    for frame in (docs, docs.repartition(7), docs.orderBy(F.rand())):  # the last is in another order at each reading
+        assert Counter((r.doc_id, r.n_tokens) for r in tokenfiles.count_documents(frame, _flat_encoder, FLAT_EOD).collect()) == want
     assert tokenfiles.count_documents(none, _flat_encoder, FLAT_EOD).count() == 0
 
 
+def test_token_counts_of_a_repartitioned_table(spark, sf):
+    from tessera.llm.queries import FLAT_EOD, _flat_encoder
+
+    frame, ids = spark.read.parquet(f"{sf}/documents.parquet").repartition(7), _flat_encoder()
+    got = Counter((r.doc_id, r.n_tokens) for r in tokenfiles.count_documents(frame, _flat_encoder, FLAT_EOD).collect())
+    assert got == Counter((r.doc_id, len(ids(r.text or ""))) for r in frame.collect())
+
+
+@pytest.mark.parametrize(("dtype", "eod"), [("<u4", 10), (">u2", 50256), ("<u4", 0x0A0A0A0A), ("<u2", 0x500A), ("u1", 7)])
+def test_token_files_read_by_ranges(spark, tmp_path, dtype, eod):
+    """Files over a bound are read by byte ranges; separators at odd bytes do not count."""
+    rng = np.random.default_rng(5)
+    tokens = {}
+    for k, n in enumerate((60_000, 3, 200_001)):
+        data = rng.integers(0, min(60_000, np.iinfo(dtype).max), n).astype(dtype)
+        data[rng.random(n) < 0.01] = eod
+        if k == 0:
+            data[1000:50_000] = 1
+        tokens[k] = data
+        (tmp_path / f"f{k}.bin").write_bytes(data.tobytes())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = tokenfiles.scan(spark, str(tmp_path), eod, dtype, whole=100).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for k, data in tokens.items():
+        ends = np.flatnonzero(data == eod)
+        starts = np.concatenate([[0], ends + 1])
+        want = [(i, s, e - s, True) for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=False))]
+        want += [(len(ends), int(starts[-1]), len(data) - int(starts[-1]), False)] * int(starts[-1] < len(data))
+        assert sorted((r.ordinal, r.start, r.n_tokens, r.ended) for r in got if r.file.endswith(f"f{k}.bin")) == want
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix_report(docs).collect()
     sizes, totals = [len(words_of(r[1])) for r in rows()], Counter()
