@@ -96,6 +96,37 @@ select record_id, url, key as canonical_url, time, status, case when status = 'r
 from found"""
 
 
+#: op5 in plain SQL: sizes and coins, targets by the level at which the capped sources
+#: (in the order of limit by weight) leave the rest, and marks class by class.
+MIX_SQL = rf"""
+with recursive sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+ cast('0x' || substr(md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce('s' || source, 'n') || ':' || md5(coalesce(text, ''))), 1, 2) as int) as bin from documents),
+classed as (select *, length(bin(cast(size as bigint))) as class from sized),
+totals as (select source, cast(sum(size) as double) as s, row_number() over (order by source nulls last) - 1 as position from sized group by source),
+weighed as (select *, 2 * s as top, case position % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from totals),
+ranked as (select *, row_number() over o as k, coalesce(sum(top) over (o rows between unbounded preceding and 1 preceding), 0) as spent,
+ (sum(w) over ()) - coalesce(sum(w) over (o rows between unbounded preceding and 1 preceding), 0) as left_, 1.5 * sum(s) over () as budget from weighed window o as (order by top / w, source nulls last)),
+levels as (select min((budget - spent) / left_) filter (where top > (budget - spent) / left_ * w and k = k0) as level from
+ (select *, min(k) filter (where top > (budget - spent) / left_ * w) over () as k0 from ranked)),
+rated as (select source, s, least(top, coalesce(level, 0) * w) as target, case when s > 0 then least(top, coalesce(level, 0) * w) / s else 0 end as rate from ranked, levels),
+sums as (select source, class, bin, cast(sum(size) as double) as words from classed where size > 0 group by all),
+steps as (select source, class, list(struct_pack(upto := upto, mark := bin + 1) order by upto) as steps, sum(words) as words from
+ (select *, sum(words) over (partition by source, class order by bin) as upto from sums) group by all),
+classes as (select *, row_number() over (partition by source order by class desc) as r, coalesce(sum(words) over (partition by source order by class rows between unbounded preceding and 1 preceding), 0) as rest from steps),
+walk as (select source, 0::bigint as r, -1 as class, 0 as mark, target - floor(rate) * s as need from rated
+ union all
+ select source, r, class, case when up then high.mark else low.mark end, need - case when up then high.upto else low.upto end from
+ (select *, off_high < off_low or (off_high = off_low and tossed * (high.upto - low.upto) < want - low.upto) as up from
+ (select *, greatest(0, high.upto - need, need - high.upto - rest) as off_high, greatest(0, low.upto - need, need - low.upto - rest) as off_low from
+ (select *, coalesce(over_, low) as high from
+ (select source, r, class, need, rest, want, coalesce(list_filter(steps, lambda x: x.upto <= want)[-1], struct_pack(upto := 0.0::double, mark := 0)) as low, list_filter(steps, lambda x: x.upto > want)[1] as over_,
+ cast('0x' || substr(md5('{mixing.SEED}:' || coalesce('s' || source, 'n') || ':' || class), 1, 8) as bigint) / 4294967296.0::double as tossed from
+ (select c.source, c.r, c.class, c.steps, c.rest, w.need, w.need * c.words / (c.words + c.rest) as want from walk w join classes c on c.source is not distinct from w.source and c.r = w.r + 1)))))),
+marks as (select source, class, mark from walk where r > 0)
+select d.doc_id, cast(d.size as bigint) as size, cast(r.s as bigint) as source_size, r.target, cast((floor(r.rate) + case when d.bin < m.mark then 1 else 0 end) * d.size as bigint) as taken
+from classed d join rated r on d.source is not distinct from r.source left join marks m on d.source is not distinct from m.source and d.class = m.class"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """op8 alone: the others need trained weights, merges, or XXH64, which DuckDB lacks."""
-    return {"op8_warc_revisits": WARC_SQL}
+    """The others need trained weights, merges, or XXH64, which DuckDB lacks."""
+    return {"op5_source_mixing": MIX_SQL, "op8_warc_revisits": WARC_SQL}

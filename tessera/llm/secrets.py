@@ -220,12 +220,12 @@ def _outside(spans: Column, base: Column) -> Column:
     return F.aggregate(spans, zero, step)["out"]
 
 
-def with_spans(docs: DataFrame, name: str = "text") -> DataFrame:
-    """``docs`` plus ``_base`` and ``_all`` span arrays."""
-    text = common.text_or_empty(name)
-    rows = docs.withColumn("_base", base_spans(text)).withColumn("_markov", markov_spans(text))
-    both = F.when(F.size("_markov") > 0, F.concat("_base", _outside(F.col("_markov"), F.col("_base")))).otherwise(F.col("_base"))
-    return rows.withColumn("_all", F.array_sort(both, lambda a, b: (a["start"] - b["start"]) * 8 + a["kind"] - b["kind"])).drop("_markov")
+def found_spans(text: Column) -> Column:
+    """struct(base, all): the spans of the fixed patterns, and these with the Markov ones, by start and kind."""
+    by_place = lambda spans: F.array_sort(spans, lambda a, b: (a["start"] - b["start"]) * 8 + a["kind"] - b["kind"])
+    both = F.struct(base_spans(text).alias("base"), markov_spans(text).alias("markov"))
+    joined = lambda x: F.when(F.size(x["markov"]) > 0, by_place(F.concat(x["base"], _outside(x["markov"], x["base"])))).otherwise(x["base"])
+    return F.element_at(F.transform(F.array(both), lambda x: F.struct(x["base"].alias("base"), joined(x).alias("all"))), 1)
 
 
 def spans_text(spans: Column) -> Column:
@@ -235,19 +235,16 @@ def spans_text(spans: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row of counts and spans for each row of ``docs``."""
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found_spans(common.text_or_empty()).alias("spans"))
+    count = lambda kind: F.size(F.filter("spans.base", lambda s: s["kind"] == kind)).cast("long")
     return rows.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(spans_text(F.col("_base")), 256).alias("base_sha256"), spans_text(F.col("_all")).alias("spans"),
+        F.sha2(spans_text(F.col("spans.base")), 256).alias("base_sha256"), spans_text(F.col("spans.all")).alias("spans"),
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by ``MARK``; n_chars, if there, follows."""
-    names = docs.columns
-    rows = with_spans(docs)
-    text = common.text_or_empty()
+def redacted(text: Column, spans: Column) -> Column:
+    """``text`` with every span replaced by ``MARK``."""
 
     def step(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["at"]
@@ -258,8 +255,17 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.size("_all") > 0, F.aggregate("_all", zero, step, finish)).otherwise(F.col("text"))
-    rows = rows.withColumn("text", clean)
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
-    return rows.select(*names)
+    return F.aggregate(spans, zero, step, finish)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span replaced by ``MARK``; n_chars, if there, follows.
+
+    The row goes along as one column, so that no name can clash.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", found_spans(F.coalesce("row.text", F.lit("")))["all"].alias("spans"))
+    some = F.size("spans") > 0
+    rows = rows.select("row", some.alias("some"), F.when(some, redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")).alias("clean"))
+    made = {"text": F.col("clean"), "n_chars": F.when(F.col("some"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars").cast("long")) if "n_chars" in docs.columns else None}
+    return rows.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
