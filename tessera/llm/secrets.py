@@ -6,14 +6,15 @@ key characters the stretches are sought in which the sum over character pairs of
 log P_random - log P_ordinary is largest; one is a secret if its sum and its mean
 per pair pass their thresholds.  So a key in a path, an address or after a name is
 found for itself, and several keys in a run are all found.  A secret is widened to
-the whole letters and digits around its ends.  Spans are in code points, end
+the whole letters and digits around its ends.  UUIDs are passed over.  Spans are in code points, end
 exclusive.
 
 Kinds, in order: assign, access, hex (the base patterns) and markov, of which the
 parts outside base spans are added.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different
-base kinds are all listed; redaction joins overlapping spans into one mark;
+base kinds are all listed; a text of any length and any number of spans is scanned whole,
+at a cost near linear in both; redaction joins overlapping spans into one mark;
 repeated rows and ids are scanned each for itself; extra columns are ignored by
 the scan and kept by ``redact``.
 """
@@ -35,11 +36,15 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 #: Runs in which the Markov models look for secrets; of shorter ones few could reach MIN_SUM.
 RUN = "[A-Za-z0-9+/_=-]{12,}"
+#: Random by construction and no secret; character pairs cannot tell it from other hexadecimal strings.
+UUID = "(?<![A-Za-z0-9])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Least mean and least sum of the log-likelihood ratio, in nats.
-MIN_MEAN = 0.9
-MIN_SUM = 24.0
+#: What each pair of a stretch must bring, in nats; so what tells nothing beside a key is not taken with it.
+COST = 0.3
+#: Least mean and least sum of the log-likelihood ratio above that.
+MIN_MEAN = 0.6
+MIN_SUM = 19.0
 #: A stretch ends where its sum has fallen by so many nats.
 DROP = 12.0
 MARK = "[REDACTED]"
@@ -90,13 +95,13 @@ def training_samples(n: int = 4_000, seed: int = 11) -> tuple[list[str], list[st
         tail = str(rng.randint(0, 2030)) if rng.random() < 0.3 else ""
         return {4: "_", 5: "-", 6: "/"}[style].join([*parts, tail] if tail else parts)
 
-    rules = ["=" * 40, "-" * 40, "_" * 40, "+" * 30, "-=" * 20, "/" * 30, "0" * 24, "1234567890" * 3, "9" * 24]
+    rules = [c * 30 for c in lower + upper] + ["=" * 40, "-" * 40, "_" * 40, "+" * 30, "-=" * 20, "/" * 30, "0" * 24, "1234567890" * 3, "9" * 24]
     return secret, [identifier() for _ in range(n)] + rules * (n // 200)
 
 
 @lru_cache(maxsize=4)
 def pair_scores(n: int = 4_000, seed: int = 11, alpha: float = 0.5) -> tuple[float, ...]:
-    """log P_random - log P_ordinary of each character pair, row by row."""
+    """log P_random - log P_ordinary - COST of each character pair, row by row."""
     size = len(ALPHABET)
     at = {c: i for i, c in enumerate(ALPHABET)}
     logs = []
@@ -106,7 +111,7 @@ def pair_scores(n: int = 4_000, seed: int = 11, alpha: float = 0.5) -> tuple[flo
             for a, b in zip(s, s[1:], strict=False):
                 counts[at[a]][at[b]] += 1
         logs.append([math.log(x / sum(row)) for row in counts for x in row])
-    return tuple(round(r - o, 4) for r, o in zip(*logs, strict=True))
+    return tuple(round(r - o - COST, 4) for r, o in zip(*logs, strict=True))
 
 
 _STRETCHES = "array<struct<low:int,high:int>>"
@@ -145,6 +150,40 @@ def stretches(run: Column) -> Column:
 
 
 _SPANS = "array<struct<start:int,end:int,kind:int,text:string>>"
+#: Items of a block when an array is walked.
+_BLOCK = 256
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _gathered(items: Column, state: Column, step, kind: str) -> Column:
+    """struct(state, out): what ``step`` emits, in order, as it walks ``items``.
+
+    step: (state, item) -> struct(state, one), of which a null ``one`` emits
+    nothing.  Blocks keep the cost of growing arrays near linear.
+    """
+
+    def walk(acc: Column, block: Column) -> Column:
+        def one(inner: Column, item: Column) -> Column:
+            return _let(step(inner["state"], item), lambda r: F.struct(r["state"].alias("state"), F.when(r["one"].isNull(), inner["out"]).otherwise(F.array_append(inner["out"], r["one"])).alias("out")))
+
+        begin = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return _let(F.aggregate(block, begin, one), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int")), lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)))
+    begin = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    whole = F.when(F.size(items) > 0, F.aggregate(blocks, begin, walk)).otherwise(begin)
+    return _let(whole, lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
+
+
+_SPAN = _SPANS[6:-1]
+
+
+def _span(start: Column, end: Column, kind: int, text: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), text.alias("text")).cast(_SPAN)
 
 
 def _located(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -153,23 +192,16 @@ def _located(text: Column, pattern: str, kind: int, group: int = 0, least: int =
     What lies between the matches gives their places; the match is kept if the
     group has ``least`` characters.
     """
-    parts = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("inner"), F.split(text, pattern, -1).alias("gaps")
-    )
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("inner"), gaps.alias("gap"))
 
-    def walk(p: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(p["gaps"], i))
-            end = start + F.length(F.get(p["found"], i))
-            span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.get(p["found"], i).alias("text"))
-            out = F.when(F.length(F.get(p["inner"], i)) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"])
-            return F.struct(end.alias("at"), out.alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(p["found"]) - 1), zero, step)["out"]
+    def step(at: Column, p: Column) -> Column:
+        start = at + p["gap"]
+        end = start + F.length(p["found"])
+        return F.struct(end.cast("int").alias("state"), F.when(F.length(p["inner"]) >= least, _span(start, end, kind, p["found"])).alias("one"))
 
-    none = F.array().cast(_SPANS)
-    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(parts), walk), 1).cast(_SPANS)).otherwise(none)
+    walked = _let(F.filter(parts, lambda p: p["found"].isNotNull()), lambda found: _gathered(found, F.lit(0), step, _SPAN))["out"]
+    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -194,30 +226,32 @@ def markov_spans(text: Column) -> Column:
             high = high + F.when(tail > 0, -tail).otherwise(after)
             return F.struct((span["start"] + low).alias("start"), (span["start"] + high).alias("end"), F.lit(3).alias("kind"), F.substring(span["text"], low + 1, high - low).alias("text"))
 
-        return F.transform(stretches(span["text"]), widened)
+        return F.transform(stretches(F.regexp_replace(span["text"], UUID, "=" * 36)), widened)
 
     return F.flatten(F.transform(_located(text, RUN, 3), within)).cast(_SPANS)
 
 
 def _outside(spans: Column, base: Column) -> Column:
-    """The parts of ``spans`` that no span before them and none of ``base`` covers; both by start."""
+    """The parts of ``spans`` that none of ``base`` covers; spans that overlap are joined.
 
-    def step(acc: Column, m: Column) -> Column:
-        low = F.greatest(m["start"], acc["at"])
+    One sweep over both by start: up to ``at`` all is settled, up to ``upto`` a span reaches.
+    """
+    events = F.array_sort(F.concat(spans, base), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    state = lambda at, upto: F.struct(at.cast("int").alias("at"), upto.cast("int").alias("upto"))
 
-        def cut(part: Column, b: Column) -> Column:
-            gap = F.struct(part["at"].alias("start"), F.least(b["start"], m["end"]).alias("end"), F.lit(3).alias("kind"), F.lit("").alias("text"))
-            out = F.when(gap["start"] < gap["end"], F.array_append(part["out"], gap)).otherwise(part["out"])
-            return F.struct(F.greatest(part["at"], b["end"]).alias("at"), out.alias("out"))
+    def step(s: Column, e: Column) -> Column:
+        mine = e["kind"] == 3
+        stop = F.least(s["upto"], e["start"])
+        ends = ~mine | (e["start"] > s["upto"])
+        after = F.when(~mine, state(F.greatest(s["at"], e["end"]), s["upto"])).when(ends, state(F.greatest(s["at"], e["start"]), F.greatest(s["upto"], e["end"]))).otherwise(state(s["at"], F.greatest(s["upto"], e["end"])))
+        return F.struct(after.alias("state"), F.when(ends & (s["at"] < stop), _span(s["at"], stop, 3, F.lit(""))).alias("one"))
 
-        end = F.struct(m["end"].alias("start"), m["end"].alias("end"), F.lit(3).alias("kind"), F.lit("").alias("text"))
-        zero = F.struct(low.alias("at"), acc["out"].alias("out"))
-        near = F.filter(base, lambda b: (b["start"] < m["end"]) & (low < b["end"]))
-        out = F.aggregate(F.array_append(near, end), zero, cut)["out"]
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), out.alias("out"))
+    def finish(r: Column) -> Column:
+        last = r["state"]
+        return F.when(last["at"] < last["upto"], F.array_append(r["out"], _span(last["at"], last["upto"], 3, F.lit("")))).otherwise(r["out"])
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.aggregate(spans, zero, step)["out"]
+    walked = _let(events, lambda found: _gathered(found, state(F.lit(0), F.lit(0)), step, _SPAN))
+    return _let(walked, finish)
 
 
 def found_spans(text: Column) -> Column:
@@ -237,8 +271,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row of counts and spans for each row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found_spans(common.text_or_empty()).alias("spans"))
     count = lambda kind: F.size(F.filter("spans.base", lambda s: s["kind"] == kind)).cast("long")
+    added = F.filter("spans.all", lambda s: s["kind"] == 3)
     return rows.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.size(added).cast("long").alias("n_markov"),
         F.sha2(spans_text(F.col("spans.base")), 256).alias("base_sha256"), spans_text(F.col("spans.all")).alias("spans"),
     )
 
@@ -246,16 +281,11 @@ def scan(docs: DataFrame) -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by ``MARK``."""
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        out = F.when(apart, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    def step(at: Column, s: Column) -> Column:
+        piece = F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(MARK)))
+        return F.struct(F.greatest(at, s["end"]).alias("state"), piece.alias("one"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, finish)
+    return _let(_gathered(spans, F.lit(0), step, "string"), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["state"] + 1, F.length(text))))
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -536,6 +536,92 @@ def test_secrets_inside_runs_and_beside_base_spans(spark):
     assert [clean[200 + i] for i in range(len(plain))] == plain
 
 
+def brute_stretches(run):
+    """The secret stretches of a run, by the models' table in plain Python."""
+    table, at = secrets.pair_scores(), {c: i for i, c in enumerate(secrets.ALPHABET)}
+    out, total, start, best, low, high = [], 0.0, 0, 0.0, 0, 0
+
+    def judge():
+        if best >= secrets.MIN_SUM and best >= secrets.MIN_MEAN * (high - 1 - low):
+            out.append((low, high))
+
+    for i in range(1, len(run)):
+        if total <= 0:
+            total, start = 0.0, i - 1
+        total += table[at[run[i - 1]] * len(at) + at[run[i]]]
+        ends = total <= max(best - secrets.DROP, 0.0)
+        if total > best:
+            best, low, high = total, start, i + 1
+        if ends:
+            judge()
+            total = best = 0.0
+    judge()
+    return out
+
+
+def brute_spans(text):
+    """All spans of a text: base ones, and the parts of widened stretches beside them, joined where they overlap."""
+    base, marked = brute_base(text), set()
+    for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", text):
+        run = m[0]
+        for low, high in brute_stretches(re.sub(secrets.UUID, "=" * 36, run)):
+            before = len(re.search("[A-Za-z0-9]*$", run[:low])[0])
+            after = len(re.match("[A-Za-z0-9]*", run[high:])[0])
+            head = re.match("[A-Za-z0-9]?[/_=-]+", run[low:high]) if before else None
+            tail = re.search("[/_=-]+[A-Za-z0-9]?$", run[low:high]) if after else None
+            low, high = low + len(head[0]) if head else low - before, high - len(tail[0]) if tail else high + after
+            marked |= set(range(m.start() + low, m.start() + high))
+    marked -= {i for s, _, e in base for i in range(s, e)}
+    edges = sorted(i for i in marked if i - 1 not in marked), sorted(i + 1 for i in marked if i + 1 not in marked)
+    return base, list(zip(*edges, strict=True))
+
+
+def test_markov_spans_against_brute_force(spark):
+    rng = random.Random(77)
+    random_ones, plain = secrets.training_samples(300, 4321)
+    texts = []
+    for _ in range(300):
+        parts = [rng.choice(random_ones), rng.choice(plain), rng.choice(plain), "token=abcdef12", "AKIA" + "B" * 16, "0" * 30, "é"]
+        rng.shuffle(parts)
+        texts.append(rng.choice((" ", "/", "=", "")).join(parts[: rng.randint(1, 6)]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = 0
+    for r in secrets.scan(frame).collect():
+        _, added = brute_spans(texts[r.doc_id])
+        covered = {i for s in r.spans.split(",") if s.startswith("markov") for i in range(*map(int, s.split(":")[1:]))}
+        assert covered == {i for s, e in added for i in range(s, e)}, texts[r.doc_id]
+        found += bool(added)
+        assert (r.n_markov > 0) == bool(added)
+    assert found > 100
+
+
+def test_secrets_of_known_shapes(spark):
+    """Held out: tokens of services are found, names of records, paths and long words are not."""
+    import uuid
+
+    rng = random.Random(6)
+    pick = lambda n: "".join(rng.choices(secrets.ALPHABET[:62], k=n))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    secret = [f"xoxb-{digits(12)}-{digits(13)}-{pick(24)}" for _ in range(60)] + ["ghp_" + pick(36) for _ in range(60)] + [pick(16) for _ in range(60)]
+    plain = [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(60)] + [c * 30 for c in secrets.ALPHABET[:52]]
+    plain += ["org/apache/hadoop/mapreduce/lib/FixedLengthInputFormat", "Donaudampfschifffahrtsgesellschaft", "AbstractSingletonProxyFactoryBeanImpl", "2024-01-15T10:20:30Z", digits(25), "/usr/local/share/applications/defaults.list"]
+    frame = spark.createDataFrame([*((i, f"see {t} there") for i, t in enumerate(secret)), *((1000 + i, f"see {t} there") for i, t in enumerate(plain))], "doc_id long, text string")
+    found = {r.doc_id for r in secrets.scan(frame).where("n_markov > 0").collect()}
+    assert len([i for i in found if i < 1000]) >= 0.95 * len(secret) and not [plain[i - 1000] for i in found if i >= 1000]
+
+
+def test_secrets_of_a_very_long_text(spark):
+    """Many thousand spans in one text: whole, and in reasonable time."""
+    import time
+
+    text = " ".join(f"word token=abcdef{i:05} deadbeefdeadbeefdeadbeef{i % 10} q7Gh2Kp9Zx4Lm8Vt1Rw6Yc3B" for i in range(6_000))
+    began = time.time()
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    clean = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert (row.n_assign, row.n_hex, row.n_markov) == (6_000, 6_000, 6_000) and clean.count(secrets.MARK) == 18_000
+    assert time.time() - began < 120
+
+
 def test_markov_held_out():
     table, at = secrets.pair_scores(), {c: i for i, c in enumerate(secrets.ALPHABET)}
     total = lambda s: sum(table[at[a] * len(at) + at[b]] for a, b in zip(s, s[1:], strict=False))
