@@ -88,3 +88,19 @@ def word_count(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     return F.filter(F.split(col, SPACES), lambda w: w != "")
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group, by (doc_id, text hash), nulls last.
+
+    rows: (doc_id, text_hash, root) of each row of ``docs``; read before it returns.
+    Columns stay as they are: a row goes along as one column, so no name can clash.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    first, _ = written(rows.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.i").alias("i"), F.col("k.h").alias("h")), "first")
+    repeated = rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = packed.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left_semi")
+    if repeated:  # rows that are equal in id and text: keep one of each
+        kept = kept.dropDuplicates(["id", "hash"])
+    return kept.select("row.*")
