@@ -1,176 +1,231 @@
-"""License scans: a trained paragraph classifier, scored in SQL functions.
-
-Paragraphs are the lines of a text.  Those that hold an anchor phrase are turned
-into distinct word uni- and bigrams and scored by a multinomial logistic
-regression whose classes are licence families plus ``none``.  The model is
-trained on the driver from labelled templates and a bounded, rule-made sample of
-their variants and of ordinary sentences; its temperature is calibrated on
-held-out variants.  A paragraph whose best family has a calibrated probability
-under ``MIN_PROBABILITY``, or that shares too few n-grams with every template of
-that family, is ``unknown``.
-
-Defined cases: a null or empty text has no paragraph; lines without an anchor are
-``none`` and are not listed; equal paragraphs are listed each; repeated rows and
-ids are scanned each for itself; extra columns are ignored.
+"""License scans: trained paragraph classifiers, scored in SQL functions.
+
+Paragraphs are the lines of a text; every one is scored.  Its distinct word uni-
+and bigrams, as 64-bit hashes, are the sparse features of two logistic
+regressions trained on the driver from the labelled sample in ``notices``: a gate,
+which opens for all but ``SHUT`` of held-out notices, and a multinomial one over the licence families, a class
+of unknown licences and ordinary text.  Probabilities are calibrated by
+temperature on held-out variants, and the least probability at which a family is
+named by notices of licences outside all families, of which at most ``LEAK`` may
+pass.  A family is then confirmed by comparison with its templates -- the notice
+holds most of a name's n-grams, or most of its own are in a passage -- and the
+version numbers must not differ.  What is not confirmed is ``unknown``.  A line
+that stays unknown is read once more together with the one before or after it, if
+the gate opens for that too, so that wrapped notices are found.
+
+Defined cases: a null or empty text has no paragraph; lines for which the gate
+stays shut are no notices and are not listed; equal paragraphs are listed each; a
+text of any length is scanned whole; repeated rows and ids are scanned each for
+itself; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import random
+import struct
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .notices import CLASSES, FAMILIES, FUNCTION, NOUGHT, OUTSIDE, TOKEN, notices, sample, templates
+
+#: Least share of n-grams for a template to confirm a family; least words of a piece of a passage.
+MIN_TEMPLATE, MIN_PIECE = 0.65, 6
+#: A notice that no family is sure of is ordinary text at this probability of it.
+ORDINARY_FROM = 0.05
+#: Share of held-out notices for which the gate may stay shut; the second model knows ordinary text too.
+SHUT = 0.01
+#: Share of notices of outside licences that calibration lets pass as a family, before templates are compared.
+LEAK = 0.1
+UNKNOWN = len(FAMILIES)
+#: The version in a family's name; families without one do not compare versions.
+VERSIONS = {f: f.rsplit("-", 1)[1].removesuffix(".0") for f in FAMILIES if f[-1].isdigit() and "-" in f}
+
+
+def key_words() -> list[list[str]]:
+    """Of each template, the words that tell its family: in a name, those that names of three families at most have."""
+    listed = templates()
+    of: dict[str, set[str]] = {}
+    for family, words, passage in listed:
+        for w in words if not passage else ():
+            of.setdefault(w, set()).add(family)
+    return [[] if passage else sorted({w for w in words if w.isalpha() and len(of[w]) <= 3}) for _, words, passage in listed]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def grams(words: list[str]) -> set[int]:
+    """Hashes of the uni- and bigrams of a word list, as Spark's xxhash64 gives them."""
+    single = [_signed(xxhash.xxh64_intdigest(w, 42)) for w in words]
+    pair = lambda a, b: _signed(xxhash.xxh64_intdigest(struct.pack("<q", b), xxhash.xxh64_intdigest(struct.pack("<q", a), 42)))
+    return {*single, *map(pair, single, single[1:])}
+
+
+@dataclass(frozen=True)
+class Model:
+    known: tuple[int, ...]
+    gate: np.ndarray
+    gate_bias: float
+    weights: np.ndarray
+    bias: np.ndarray
+    temperature: float
+    least: float
+
+    def matrix(self, rows: list[set[int]]) -> np.ndarray:
+        place = {g: i for i, g in enumerate(self.known)}
+        x = np.zeros((len(rows), len(place)), np.float32)
+        for i, found in enumerate(rows):
+            x[i, [place[g] for g in found if g in place]] = 1.0
+        return x
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
-ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|public domain|released under|permission is hereby|redistribution|creative commons|\bcc[ -]by|\bcc0|\b[al]?gpl"
-TOKEN = r"[a-z0-9]+(?:\.[0-9]+)?"
-MIN_PROBABILITY = 0.7
-MIN_TEMPLATE = 0.6
-#: Bounds of the training sample: variants of each template, ordinary sentences.
-VARIANTS, ORDINARY = 24, 240
-
-# Licence notices by family.
-TEMPLATES = {
-    "mit": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ],
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-    ],
-    "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it under the terms of the GNU General Public License version 3 or later",
-        "Licensed under GPL 3.0.",
-    ],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License."],
-    "bsd": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."],
-    "cc0": ["Released under CC0 1.0 into the public domain.", "To the extent possible under law, the author has waived all copyright; dedicated to the public domain."],
-    "all-rights-reserved": ["All rights reserved.", "Copyright by the author. All rights reserved. No part may be reproduced without permission."],
-}
-# Words of the ordinary sentences.
-_PLAIN = (
-    "the a of to and in is was for on with as by at from his her their it this that which driver driving fishing dog office "
-    "city court judge new old state council renewed applied paid fee holder expired bar shop music film book author page "
-    "license licence licensed copyright law rights human reserved seats table released under water public domain name "
-    "permission granted visitors software house report article year people said first may use file terms version"
-).split()
-
-
-def tokens(text: str) -> list[str]:
-    import re
-
-    return re.findall(TOKEN, text.lower())
-
-
-def grams(words: list[str]) -> set[str]:
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+
+def _regression(x: np.ndarray, y: np.ndarray, steps: int, rate: float = 2.0, decay: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of a logistic regression by gradient descent with momentum."""
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    dw, db = np.zeros_like(w), np.zeros_like(b)
+    for _ in range(steps):
+        off = _softmax(x @ w + b) - y
+        dw = 0.9 * dw - rate * (x.T @ off / len(x) + decay * w)
+        db = 0.9 * db - rate * off.mean(0)
+        w, b = w + dw, b + db
+    return w, b
 
 
 @lru_cache(maxsize=1)
-def vocabulary() -> tuple[str, ...]:
-    return tuple(sorted({g for notices in TEMPLATES.values() for t in notices for g in grams(tokens(t))}))
+def model() -> Model:
+    told = [words for _, words, _ in templates()] + [words[:12] for words, label in sample(3) if label == "unknown"]
+    idle = {g for words in told for pair in zip(words, words[1:]) if FUNCTION.issuperset(pair) for g in grams(list(pair))} | {g for w in FUNCTION for g in grams([w])}
+    known = tuple(sorted({g for words in told for g in grams(words)} - idle))
+    blank = Model(known, np.zeros(0), 0.0, np.zeros(0), np.zeros(0), 1.0, 0.0)
+    rows = sample(1)
+    x = blank.matrix([grams(words) for words, _ in rows])
+    labels = np.array([CLASSES.index(label) for _, label in rows])
+    gate, _ = _regression(x, np.eye(2, dtype=np.float32)[(labels == len(CLASSES) - 1).astype(int)], 160)
+    w, b = _regression(x, np.eye(len(CLASSES), dtype=np.float32)[labels], 220)
+    held = sample(2)
+    z, truth = blank.matrix([grams(words) for words, _ in held]) @ w + b, np.array([CLASSES.index(label) for _, label in held])
+    is_notice = truth < len(CLASSES) - 1
+    opening = (blank.matrix([grams(words) for words, _ in held]) @ (gate[:, 0] - gate[:, 1]))[is_notice]
+    gate_bias = -float(np.quantile(opening, SHUT))
+    loss = lambda t: float(-np.log(_softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean())
+    temperature = min((0.25 * 1.25**i for i in range(20)), key=loss)
+    import random
 
+    outside = notices(random.Random(5), [("unknown", n) for n in OUTSIDE], 20)
+    p = _softmax((blank.matrix([grams(words) for words, _ in outside]) @ w + b) / temperature)
+    least = float(np.quantile(np.where(p.argmax(1) < UNKNOWN, p.max(1), 0.0), 1 - LEAK))
+    flat = lambda a: np.round(a.astype(float), 4)
+    return Model(known, flat(gate[:, 0] - gate[:, 1]), float(flat(np.array(gate_bias))), flat(w), flat(b), round(temperature, 4), round(min(max(least, 0.5), 0.95), 4))
 
-CLASSES = (*TEMPLATES, "none")
 
+def _numbers(values, kind: str) -> Column:
+    """A constant array; made from one string, as thousands of literals would be slow to plan."""
+    return F.split(F.lit(",".join(str(v) for v in values)), ",").cast(f"array<{kind}>")
 
-def training_sample(seed: int) -> list[tuple[set[str], str]]:
-    """Labelled n-gram sets: template variants by family, ordinary sentences."""
-    rng = random.Random(seed)
-    rows = []
-    for family, notices in TEMPLATES.items():
-        for notice in notices:
-            words = tokens(notice)
-            for _ in range(VARIANTS):
-                kept = [w for w in words if rng.random() > 0.06 or len(words) < 6]
-                before = rng.choices(_PLAIN, k=rng.choice((0, 0, 1, 4)))
-                after = rng.choices(_PLAIN, k=rng.choice((0, 0, 2, 8)))
-                rows.append((grams(before + kept + after), family))
-    for _ in range(ORDINARY):
-        rows.append((grams(rng.choices(_PLAIN, k=rng.randint(4, 30))), "none"))
-    return rows
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-@lru_cache(maxsize=1)
-def model() -> tuple[dict[str, list[float]], list[float], float]:
-    """(weights of each n-gram by class, biases, temperature)."""
-    place = {g: i for i, g in enumerate(vocabulary())}
 
-    def matrix(rows: list[tuple[set[str], str]]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.zeros((len(rows), len(place)))
-        for i, (found, _) in enumerate(rows):
-            x[i, [place[g] for g in found if g in place]] = 1.0
-        return x, np.eye(len(CLASSES))[[CLASSES.index(label) for _, label in rows]]
+def words_in(line: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(F.lower(line), NOUGHT, "$1"), F.lit(TOKEN), F.lit(0))
+
 
-    x, y = matrix(training_sample(1))
-    w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
-    for _ in range(400):
-        z = x @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w -= 0.5 * (x.T @ (p - y) / len(x) * 4 + 2e-3 * w)
-        b -= 0.5 * (p - y).mean(0) * 4
-    held, truth = matrix(training_sample(2))
-    z = held @ w + b
+def grams_in(words: Column) -> Column:
+    """Hashes of the uni- and bigrams of a word array."""
 
-    def loss(t: float) -> float:
-        q = z / t
-        return float((np.log(np.exp(q - q.max(1, keepdims=True)).sum(1)) + q.max(1) - (q * truth).sum(1)).mean())
+    def both(h: Column) -> Column:
+        pairs = F.when(F.size(h) > 1, F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.xxhash64(F.get(h, i - 1), F.get(h, i))))
+        return F.concat(h, F.coalesce(pairs, F.array().cast("array<bigint>")))
 
-    best = min((0.25 * 1.25**i for i in range(20)), key=loss)
-    return {g: [round(v, 5) for v in w[i]] for g, i in place.items()}, [round(v, 5) for v in b], round(best, 5)
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), both)
 
 
-def _doubles(values: list[float]) -> str:
-    return "array(" + ",".join(f"{v}D" for v in values) + ")"
+def _places(found: Column, known: Column) -> Column:
+    return F.transform(F.array_intersect(found, known), lambda g: (F.array_position(known, g) - 1).cast("int"))
 
 
-def _strings(values: list[str]) -> str:
-    return "array(" + ",".join(f"'{v}'" for v in values) + ")"
+def gate(line: Column, m: Model) -> Column:
+    """Whether a line may be a licence notice."""
+    known, weights = _numbers(m.known, "bigint"), _numbers(m.gate, "double")
+    total = F.aggregate(_places(grams_in(words_in(line)), known), F.lit(m.gate_bias), lambda a, p: a + F.get(weights, p))
+    return total > 0
 
 
-def classify(paragraph: Column) -> Column:
-    """struct(family, probability, likeness) of one paragraph with an anchor."""
-    weights, bias, temperature = model()
-    known = F.expr(_strings(list(weights)))
-    table = F.expr("array(" + ",".join(_doubles(v) for v in weights.values()) + ")")
-    notices = [(family, sorted(grams(tokens(t)))) for family, ts in TEMPLATES.items() for t in ts]
-    templates = F.expr("array(" + ",".join(f"struct('{f}' as family, {_strings(g)} as grams)" for f, g in notices) + ")")
-    words = F.regexp_extract_all(F.lower(paragraph), F.lit(TOKEN), F.lit(0))
+_VERDICT = "struct<family:string,probability:double,likeness:double>"
 
-    def grams_of(w: Column) -> Column:
-        pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
-        return F.array_intersect(F.concat(w, F.coalesce(pairs, F.array().cast("array<string>"))), known)
 
-    def judged(g: Column) -> Column:
-        add = lambda acc, x: F.zip_with(acc, F.element_at(table, F.array_position(known, x).cast("int")), lambda p, q: p + q)
-        logits = F.aggregate(g, F.expr(_doubles(bias)), add)
+def classify(paragraph: Column, m: Model) -> Column:
+    """struct(family, probability, likeness) of one paragraph."""
+    known, weights, bias = _numbers(m.known, "bigint"), _numbers(m.weights.ravel(), "double"), _numbers(m.bias, "double")
+    n = len(CLASSES)
+    texts = lambda ws: "array(" + ",".join(f"'{w}'" for w in ws) + ")" if ws else "cast(array() as array<string>)"
+    listed = [(CLASSES.index(family), passage, sorted(grams(words)), keys) for (family, words, passage), keys in zip(templates(), key_words(), strict=True)]
+    sources = F.expr("array(" + ",".join(f"struct({f} as family, {str(passage).lower()} as passage, array({','.join(f'{g}L' for g in gs)}) as grams, {texts(keys)} as keys)" for f, passage, gs, keys in listed) + ")")
+    names, versions = F.array(*[F.lit(c) for c in CLASSES]), F.array(*[F.lit(VERSIONS.get(c)).cast("string") for c in CLASSES])
+
+    def judged(x: Column) -> Column:
+        places = _places(x["grams"], known)
+        logits = _let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.aggregate(ps, F.get(bias, c), lambda a, p: a + F.get(weights, p * n + c))))
 
         def decide(z: Column) -> Column:
-            scaled = F.transform(z, lambda v: F.exp((v - F.array_max(z)) / temperature))
-            best = F.element_at(F.expr(_strings(list(CLASSES))), F.array_position(z, F.array_max(z)).cast("int"))
-            probability = 1.0 / F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v)
-            of_best = F.filter(templates, lambda t: t["family"] == best)
-            likeness = F.coalesce(F.array_max(F.transform(of_best, lambda t: F.size(F.array_intersect(g, t["grams"])) / F.size(t["grams"]))), F.lit(0.0))
-            sure = (best == "none") | ((probability >= MIN_PROBABILITY) & (likeness >= MIN_TEMPLATE))
-            return F.struct(F.when(sure, best).otherwise("unknown").alias("family"), F.round(probability, 4).alias("probability"), F.round(likeness, 4).alias("likeness"))
+            top = F.array_max(z)
+            best = (F.array_position(z, top) - 1).cast("int")
+            probability = 1.0 / F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp((v - top) / m.temperature))
+            ordinary = probability * F.exp((F.get(z, F.lit(n - 1)) - top) / m.temperature)
+            own = F.size(F.array_distinct(x["grams"]))
+
+            def alike(t: Column) -> Column:
+                shared = F.size(F.array_intersect(x["grams"], t["grams"]))
+                whole = F.when(F.size(F.array_except(t["keys"], x["words"])) == 0, shared / F.size(t["grams"])).otherwise(0.0)
+                piece = F.when(t["passage"] & (F.size(x["words"]) >= MIN_PIECE), shared / own).otherwise(0.0)
+                return F.greatest(whole, piece)
+
+            likeness = F.coalesce(F.array_max(F.transform(F.filter(sources, lambda t: t["family"] == best), alike)), F.lit(0.0))
+            numbers = F.filter(x["words"], lambda w: w.rlike(r"^[0-9](\.[0-9])?$"))
+            version = F.get(versions, best)
+            same = version.isNull() | (F.size(numbers) == 0) | F.array_contains(numbers, version)
+            sure = (best < UNKNOWN) & (probability >= m.least) & (likeness >= MIN_TEMPLATE) & same
+            return F.struct(F.when(sure, F.get(names, best)).when((best == n - 1) | (ordinary >= ORDINARY_FROM), "none").otherwise("unknown").alias("family"), F.round(probability, 4).alias("probability"), F.round(likeness, 4).alias("likeness"))
+
+        return _let(logits, decide)
+
+    return _let(_let(words_in(paragraph), lambda w: F.struct(w.alias("words"), grams_in(w).alias("grams"))), judged).cast(_VERDICT)
+
+
+def verdicts(text: Column) -> Column:
+    """The verdict on each licence notice of a text, in order."""
+    m = model()
+    rows = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), gate(line, m).alias("open")))
+
+    def found(lines: Column) -> Column:
+        def judged(i: Column) -> Column:
+            here = F.get(lines, i)["line"]
+
+            def again(alone: Column) -> Column:
+                beside = F.filter(F.array(i - 1, i + 1), lambda j: F.coalesce(F.get(lines, j)["open"], F.lit(False)))
+                joined = F.transform(beside, lambda j: classify(F.concat_ws(" ", F.get(lines, F.least(i, j))["line"], F.get(lines, F.greatest(i, j))["line"]), m))
+                better = F.get(F.filter(joined, lambda v: ~v["family"].isin("unknown", "none")), 0)
+                return F.when(alone["family"] == "unknown", F.coalesce(better, alone)).otherwise(alone)
+
+            return _let(classify(here, m), again)
 
-        return F.element_at(F.transform(F.array(logits), decide), 1)
+        opened = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i)["open"])
+        return F.filter(F.transform(opened, judged), lambda v: v["family"] != "none")
 
-    return F.element_at(F.transform(F.array(F.element_at(F.transform(F.array(words), grams_of), 1)), judged), 1)
+    return _let(rows, found).cast(f"array<{_VERDICT}>")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -179,11 +234,7 @@ def scan(docs: DataFrame) -> DataFrame:
     families: the distinct families of its licence paragraphs, sorted and
     comma-joined, ``unknown`` included; empty if there is none.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda p: p.rlike(ANCHOR))
-    found = F.filter(F.transform(lines, classify), lambda c: c["family"] != "none")
-    empty = F.array().cast("array<struct<family:string,probability:double,likeness:double>>")
-    rows = rows.withColumn("found", F.when(F.col("text").rlike(ANCHOR), found).otherwise(empty))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), verdicts(common.text_or_empty()).alias("found"))
     return rows.select(
         "doc_id", F.size("found").cast("long").alias("n_paragraphs"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda c: c["family"]))), ",").alias("families"),
