@@ -68,34 +68,7 @@ def priority(split: Column) -> Column:
     return found
 
 
-def example_key(records: DataFrame) -> DataFrame:
-    """Adds ``key``: a 20-byte digest of what makes two records the same."""
-    return records.withColumn("key", F.sha1(F.to_json(F.struct(F.lower("human_answer").alias("answer"), F.col("language")))))
-
-
 def best_group_split(records: DataFrame, group: str) -> DataFrame:
     """Adds ``best``: the winning split of the record's group."""
     best = records.groupBy(group).agg(F.min(F.struct(priority(F.col("split")).alias("p"), F.col("split").alias("s"))).alias("b"))
     return records.join(best.select(group, F.col("b.s").alias("best")), group)
-
-
-def first_seen(records: DataFrame) -> DataFrame:
-    """Adds the first record of each key: ``kept_id``, ``kept_split``, ``kept_dataset``.
-
-    The first by (priority, dataset, id) comes from a combining aggregate, so a
-    key with most of the rows never meets in one task.
-    """
-    keyed = example_key(records)
-    order = F.struct(priority(F.col("split")).alias("p"), F.col("dataset").alias("d"), F.col("id").alias("i"), F.col("split").alias("s"))
-    first = keyed.groupBy("key").agg(F.min(order).alias("f"))
-    return keyed.join(first.select("key", F.col("f.i").alias("kept_id"), F.col("f.s").alias("kept_split"), F.col("f.d").alias("kept_dataset")), "key")
-
-
-def dedup_report(seen: DataFrame) -> DataFrame:
-    gone = F.col("id") != F.col("kept_id")
-    count = lambda c: F.count_if(c).alias
-    same = F.col("split") == F.col("kept_split")
-    return seen.agg(
-        F.count("*").alias("total"), count(~gone)("kept"), count(gone & same)("same_split"), count(gone & ~same)("cross_split"),
-        count(gone & (F.col("dataset") != F.col("kept_dataset")))("cross_dataset"), F.round(F.count_if(gone) / F.count("*"), 6).alias("removed_rate"),
-    )

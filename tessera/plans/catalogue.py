@@ -89,27 +89,6 @@ def balanced_sample(spark, d):
 
 
 _PRIO = "case {0} when 'test' then 0 when 'validation2' then 1 when 'dev' then 2 when 'train' then 3 else 99 end"
-SEEN = f"""seen as (select id, split, dataset, first_value(id) over w as kept_id, first_value(split) over w as kept_split, first_value(dataset) over w as kept_dataset
- from records window w as (partition by lower(human_answer), language order by {_PRIO.format('split')}, dataset, id))"""
-
-
-@query(_sql("select id, kept_id, kept_split from seen", SEEN))
-def dedup_records(spark, d):
-    return R.first_seen(_records(spark, d)).select("id", "kept_id", "kept_split")
-
-
-@query(
-    _sql(
-        """select count(*) as total, count(*) filter (id = kept_id) as kept, count(*) filter (id <> kept_id and split = kept_split) as same_split,
- count(*) filter (id <> kept_id and split <> kept_split) as cross_split, count(*) filter (id <> kept_id and dataset <> kept_dataset) as cross_dataset,
- round(count(*) filter (id <> kept_id) / count(*), 6) as removed_rate from seen""",
-        SEEN,
-    )
-)
-def dedup_report(spark, d):
-    return R.dedup_report(R.first_seen(_records(spark, d)))
-
-
 @query(_sql(f"select id, split, arg_min(split, {_PRIO.format('split')}) over (partition by dataset, n_tokens % 50) as best from records"))
 def group_best_split(spark, d):
     rows = _records(spark, d).withColumn("group", F.concat_ws("|", "dataset", F.col("n_tokens") % 50))
@@ -395,25 +374,6 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
     return main.union(again).union(docs.where("i % 97 = 0").select(F.col("i") + 100000000, "lang"))
 
 
-@query(
-    _sql(
-        """select (select count(*) from preds) as predictions, (select count(distinct source_index) from preds) as unique_indices,
- (select count(*) from (select source_index from preds group by 1 having count(*) > 1)) as duplicate_indices, (select count(*) from preds where source_index not in (select id from records)) as out_of_range,
- (select count(*) from records where id not in (select source_index from preds)) as missing, (select count(*) from preds join records on id = source_index where observed <> language) as mismatched""",
-        ALIGN,
-    )
-)
-def alignment_report(spark, d):
-    counts = _predictions(spark, d).groupBy("source_index").agg(F.count("*").alias("c"), F.count_if(F.lit(True)).alias("k"), F.collect_set("observed").alias("o"), F.count_if(F.col("observed") == "other").alias("bad"))
-    recs = R.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
-    both = counts.join(recs, counts.source_index == recs.id, "full_outer")
-    return both.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("predictions"), F.count("source_index").alias("unique_indices"), F.count_if(F.col("c") > 1).alias("duplicate_indices"),
-        F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("c"))), F.lit(0)).alias("out_of_range"), F.count_if(F.col("source_index").isNull()).alias("missing"),
-        F.coalesce(F.sum(F.when(F.col("id").isNotNull(), F.col("bad"))), F.lit(0)).alias("mismatched"),
-    )
-
-
 @query(_sql("select source_index, language, observed, n_tokens from preds join records on id = source_index where observed = language", ALIGN))
 def preference_pairs(spark, d):
     recs = _records(spark, d).select("id", "language", "n_tokens")
@@ -567,8 +527,8 @@ def message_tree_ancestry(spark, d):
 
 
 def _all() -> None:
-    """Registers the queries over model outputs, which build on this module."""
-    from tessera.plans import outputs  # noqa: F401
+    """Registers the queries of the modules that build on this one."""
+    from tessera.plans import alignments, corpora, outputs  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
