@@ -80,6 +80,35 @@ def overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))
 
 
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def gram_hashes(hashes: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams of an array of word hashes."""
+    if n == 1:
+        return hashes
+    count = F.size(hashes) - n + 1
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+
+
+def common_words(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two word arrays, in one pass over their sorted 63-bit hashes; no shuffle."""
+    side = lambda words, bit: F.transform(words, lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 1), 1) + bit)
+    both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+
+    def step(s: Column, x: Column) -> Column:
+        word, of_b = F.shiftright(x, 1), x.bitwiseAND(F.lit(1).cast("long"))
+        same = s["w"].eqNullSafe(word)
+        kept = lambda c: F.when(same, s[c]).otherwise(0)
+        # a's come first among equals, so each further b meets one a at most
+        met = F.when((of_b == 1) & (kept("a") > kept("b")), 1).otherwise(0)
+        return F.struct(word.alias("w"), (kept("a") + F.when(of_b == 0, 1).otherwise(0)).alias("a"), (kept("b") + F.when(of_b == 1, 1).otherwise(0)).alias("b"), (s["n"] + met).alias("n"))
+
+    start = F.struct(F.lit(None).cast("long").alias("w"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+    return F.aggregate(both, start, step, lambda s: s["n"])
+
+
 def f1(common: Column, a: Column, b: Column) -> Column:
     """F1 of a common count; both empty 1, one empty 0."""
     n, m = F.size(a), F.size(b)

@@ -34,11 +34,11 @@ def with_bands(long: DataFrame, refs: DataFrame) -> DataFrame:
     return long.join(refs.select("bucket_id", "feature", "q10", "q90", "std"), ["bucket_id", "feature"])
 
 
-def support_distance(long: DataFrame, refs: DataFrame) -> DataFrame:
+def support_distance(long: DataFrame, refs: DataFrame, digits: int = 6) -> DataFrame:
     """Mean over features of how far a value is outside its band, in band widths."""
     scale = F.greatest(F.col("q90") - F.col("q10"), F.col("std"), F.lit(1e-6))
     gap = F.greatest(F.col("q10") - F.col("value"), F.col("value") - F.col("q90"), F.lit(0.0)) / scale
-    return with_bands(long, refs).groupBy("id", "bucket_id").agg(F.round(F.avg(gap), 6).alias("distance"))
+    return with_bands(long, refs).groupBy("id", "bucket_id").agg(F.round(F.avg(gap), digits).alias("distance"))
 
 
 def coverage(long: DataFrame, refs: DataFrame) -> DataFrame:

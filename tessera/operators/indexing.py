@@ -8,23 +8,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _ranges(rows: DataFrame, order: str) -> DataFrame:
+    """Adds ``_part``: the range of ``order`` a row is in, cut at fixed quantiles, so a lost task finds the same."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
+    return rows.withColumn("_part", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))) if cuts else F.lit(0))
+
+
+def _looked_up(values: dict[int, int], key: str) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(key)) if values else F.lit(0)
+
+
 def with_row_index(rows: DataFrame, order: str, name: str = "source_index") -> DataFrame:
     """Adds each row's place, from 0, by ``order``, a number that tells all rows apart.
 
     Rows are dealt to ranges between quantiles and numbered in each; a range is moved
     by the rows before it, at most one count a range on the driver.  No window spans
-    the table, and the bounds are fixed numbers, so a lost task finds the same places.
+    the table.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    dealt = rows.withColumn("_part", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))) if cuts else F.lit(0))
+    dealt = _ranges(rows, order)
     counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
     before = {p: sum(n for q, n in counts.items() if q < p) for p in counts}
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_part")) if before else F.lit(0)
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + offset
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + _looked_up(before, "_part")
     return dealt.withColumn(name, place.cast("long")).drop("_part")
 
 
+def running_sums(rows: DataFrame, order: str, columns: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds running sums (new name -> column of whole numbers) along ``order``, a number that tells all rows apart.
+
+    In ranges like ``with_row_index``: a range starts from the sums of those before it.
+    """
+    dealt = _ranges(rows, order)
+    sums = dealt.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in columns.items()]).collect()
+    earlier = (lambda q, p: q > p) if descending else (lambda q, p: q < p)
+    within = Window.partitionBy("_part").orderBy(F.desc(order) if descending else F.asc(order))
+    made = {n: F.sum(c).over(within) + _looked_up({r["_part"]: sum(q[n] for q in sums if earlier(q["_part"], r["_part"])) for r in sums}, "_part") for n, c in columns.items()}
+    return dealt.withColumns(made).drop("_part")
+
+
 def first_n(rows: DataFrame, index: str, n: int) -> DataFrame:
     """The rows of the ``n`` least places, in order; all of them for n <= 0."""
     return rows.orderBy(index) if n <= 0 else rows.orderBy(index).limit(n)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from tessera.operators.indexing import running_sums
+
 # Judge dimensions, composites with their weights, score range.
 DIMENSIONS = (
     "task_success", "factual_grounding", "instruction_following", "reference_alignment",
@@ -58,8 +60,16 @@ def bounded_geometric_mean(values: Column) -> Column:
 def roc_points(scored: DataFrame) -> DataFrame:
     """(score, tp, fp): running counts from the highest score down, by distinct score."""
     counts = scored.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("f"))
-    down = Window.orderBy(F.desc("score"))
-    return counts.select("score", "p", "f", F.sum("p").over(down).alias("tp"), F.sum("f").over(down).alias("fp"))
+    return running_sums(counts, "score", {"tp": "p", "fp": "f"}, descending=True).select("score", "p", "f", "tp", "fp")
+
+
+def tpr_at(scored: DataFrame, limits: tuple[float, ...] = (0.01, 0.05, 0.10)) -> DataFrame:
+    """One row: the greatest true-positive rate among thresholds whose false-positive rate is within each limit."""
+    points = roc_points(scored)
+    whole = points.agg(F.max("tp").alias("np"), F.max("fp").alias("nf"))
+    rated = points.crossJoin(F.broadcast(whole))  # one row
+    best = lambda x: F.round(F.coalesce(F.max(F.when(F.col("fp") <= x * F.col("nf"), F.col("tp") / F.col("np"))), F.lit(0.0)), 6)
+    return rated.agg(*[best(x).alias(f"tpr_at_fpr_{x:.2f}".replace(".", "_")) for x in limits])
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -125,14 +135,6 @@ def balanced_sample(rows: DataFrame, key: str, ident: str, total: int, order: Co
     return ranked.join(F.broadcast(quota), key).where(F.col("_r") <= F.col("quota")).drop("_r", "quota")
 
 
-def word_overlap(pairs: DataFrame) -> DataFrame:
-    """(id, common): size of the multiset intersection of word arrays ``p`` and ``r``, by
-    words counted per id; ids without a word are absent."""
-    side = lambda c, a: pairs.select("id", F.explode(c).alias("w"), F.lit(a).alias("a"))
-    counts = side("p", 1).unionByName(side("r", 0)).groupBy("id", "w").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
-    return counts.groupBy("id").agg(F.sum(F.least("a", "b")).alias("common"))
-
-
 def f1_of_counts(common: Column, n: Column, m: Column) -> Column:
     """F1 of a common count and two sizes; both empty 1, one empty 0."""
     return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(2.0 * common / (n + m))

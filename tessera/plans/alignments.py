@@ -16,32 +16,36 @@ from tessera.plans import catalogue as C
 
 query, _r6 = C.query, C._r6
 
-_I = F.col("source_index")
+
+def _i():
+    return F.col("source_index")
+
+
 _PAIRS = "array<array<string>>"
 
 
 def _cur(spark, d):
     docs = I.with_row_index(R.table(spark, d, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
-    history = F.when(_I % 4 == 0, F.array(F.array(F.col("lang"), F.col("source")))).otherwise(F.array().cast(_PAIRS))
+    history = F.when(_i() % 4 == 0, F.array(F.array(F.col("lang"), F.col("source")))).otherwise(F.array().cast(_PAIRS))
     return docs.select("source_index", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("Write in "), "lang").alias("question"), F.coalesce("source", F.lit("")).alias("context"), history.alias("history"), F.coalesce("text", F.lit("")).alias("human_answer"), F.col("lang").alias("language"), F.concat_ws("|", "lang", "source").alias("bucket_id"))
 
 
 def _view(cur):
-    pick = lambda n, other, same: F.when(_I % n == 0, other).otherwise(F.col(same))
-    history = F.when(_I % 36 == 0, F.lit(None).cast(_PAIRS)).otherwise(F.col("history"))
+    pick = lambda n, other, same: F.when(_i() % n == 0, other).otherwise(F.col(same))
+    history = F.when(_i() % 36 == 0, F.lit(None).cast(_PAIRS)).otherwise(F.col("history"))
     return cur.select("source_index", pick(101, F.lit("other"), "question").alias("instruction"), pick(67, F.lit(None).cast("string"), "context").alias("input"), history.alias("history"), pick(59, F.lit("x"), "human_answer").alias("output"))
 
 
 def _preds(cur):
     """Predictions with every kind of defect."""
-    odd = lambda n, other, same: F.when(_I % n == 0, other).otherwise(same)
+    odd = lambda n, other, same: F.when(_i() % n == 0, other).otherwise(same)
     said = odd(23, F.col("human_answer"), odd(19, F.lit(" \n"), F.concat(F.lit("Well: "), "human_answer")))
     rows = cur.select(
         "source_index", odd(11, F.lit("other"), F.col("question")).alias("instruction"), odd(17, F.lit(""), F.col("context")).alias("input"), odd(8, F.lit(None).cast(_PAIRS), F.col("history")).alias("history"),
         odd(13, F.lit("y"), F.col("human_answer")).alias("reference_output"), said.alias("prediction"), F.lit("m").alias("model_name"),
     )
-    main, again, outside = rows.where(_I % 5 != 0), rows.where(_I % 50 == 1), rows.where(_I % 97 == 0).withColumn("source_index", _I + 100_000_000)
-    return main.unionByName(again).unionByName(outside).unionByName(rows.where(_I % 89 == 0).withColumn("source_index", F.lit(None).cast("long")))
+    main, again, outside = rows.where(_i() % 5 != 0), rows.where(_i() % 50 == 1), rows.where(_i() % 97 == 0).withColumn("source_index", _i() + 100_000_000)
+    return main.unionByName(again).unionByName(outside).unionByName(rows.where(_i() % 89 == 0).withColumn("source_index", F.lit(None).cast("long")))
 
 
 ROWS = """cur as (select row_number() over (order by doc_id) - 1 as i, cast(doc_id as varchar) as id, 'Write in ' || lang as question, coalesce(source, '') as context, coalesce(text, '') as human_answer, lang as language, concat_ws('|', lang, source) as bucket_id,
@@ -99,7 +103,7 @@ def pair_counters(spark, d):
 def strict_pairs(spark, d):
     """Pairs of predictions without a defect; any defect fails the query."""
     cur = _cur(spark, d)
-    clean = cur.select("source_index", F.col("question").alias("instruction"), F.col("context").alias("input"), "history", F.col("human_answer").alias("reference_output"), F.when(_I % 23 == 0, F.col("human_answer")).otherwise(F.concat(F.lit("Well: "), "human_answer")).alias("prediction"))
+    clean = cur.select("source_index", F.col("question").alias("instruction"), F.col("context").alias("input"), "history", F.col("human_answer").alias("reference_output"), F.when(_i() % 23 == 0, F.col("human_answer")).otherwise(F.concat(F.lit("Well: "), "human_answer")).alias("prediction"))
     return A.strict_pairs(cur, clean).select("source_index", F.md5("chosen").alias("chosen_md5"))
 
 
@@ -108,7 +112,7 @@ def sample_alignment(spark, d):
     """Rows of two views of one sample that differ by text or weight."""
     cur = _cur(spark, d)
     left = cur.select("source_index", F.col("question").alias("text"), F.lit(0.5).alias("weight"))
-    right = _view(cur).select("source_index", F.col("instruction").alias("text"), F.when(_I % 7 == 0, 0.5 + 1e-7).otherwise(0.5 + 1e-9).alias("weight"))
+    right = _view(cur).select("source_index", F.col("instruction").alias("text"), F.when(_i() % 7 == 0, 0.5 + 1e-7).otherwise(0.5 + 1e-9).alias("weight"))
     return A.sample_alignment(left, right, ["text"], "weight").select("source_index", F.array_join("fields", ",").alias("fields"))
 
 
@@ -121,7 +125,7 @@ def generated_records(spark, d):
 @query(f"with {ROWS} select count(*) as prediction_rows, (select count(*) from cur where i % 9 <> 4) as prediction_feature_rows, (select count(*) from cur where i % 9 <> 4) as aligned_prediction_feature_rows, count(*) filter (i % 9 = 4) as missing_prediction_feature_rows, round(count(*) filter (i % 9 <> 4) / count(*), 8) as prediction_feature_coverage from cur")
 def feature_coverage(spark, d):
     cur = _cur(spark, d).select("source_index", "id")
-    return A.feature_coverage(cur, cur.where(_I % 9 != 4))
+    return A.feature_coverage(cur, cur.where(_i() % 9 != 4))
 
 
 @query(f"with {ROWS} select i as ordinal, id, length(human_answer) as chars from cur")
@@ -143,9 +147,9 @@ def human_ai_scores(spark, d):
 
 def _source(cur):
     """A model's rows with their own numbers: some places missing or outside, some fields absent."""
-    at = F.when(_I % 31 == 0, F.lit(None).cast("long")).when(_I % 37 == 0, F.lit(-1).cast("long")).when(_I % 41 == 0, _I + 1_000_000).otherwise(_I)
-    said = F.when(_I % 29 == 0, F.lit(" \r\n")).otherwise(F.concat("human_answer", F.lit(" \r\nend ")))
-    return cur.select(_I.alias("row_number"), at.alias("source_index"), said.alias("candidate"), F.when(_I % 3 == 0, F.col("question")).when(_I % 3 == 1, F.lit("other")).alias("instruction"), F.lit(None).cast("string").alias("input"))
+    at = F.when(_i() % 31 == 0, F.lit(None).cast("long")).when(_i() % 37 == 0, F.lit(-1).cast("long")).when(_i() % 41 == 0, _i() + 1_000_000).otherwise(_i())
+    said = F.when(_i() % 29 == 0, F.lit(" \r\n")).otherwise(F.concat("human_answer", F.lit(" \r\nend ")))
+    return cur.select(_i().alias("row_number"), at.alias("source_index"), said.alias("candidate"), F.when(_i() % 3 == 0, F.col("question")).when(_i() % 3 == 1, F.lit("other")).alias("instruction"), F.lit(None).cast("string").alias("input"))
 
 
 SOURCE = """src as (select i as n, case when i % 31 = 0 then null when i % 37 = 0 then -1 when i % 41 = 0 then i + 1000000 else i end as j, case when i % 29 = 0 then '' else human_answer || ' ' || chr(10) || 'end' end as candidate,

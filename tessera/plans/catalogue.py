@@ -327,37 +327,12 @@ common as (select id, sum(least(a, b)) as c from both_ group by 1)"""
 _F1 = "case when len(p)=0 and len(r)=0 then 1.0 when len(p)=0 or len(r)=0 then 0.0 else 2.0 * c / (len(p) + len(r)) end"
 
 
-@query(_sql(f"select bucket_id, dataset, count(*) as n, round(avg((p = r)::int), 6) as em, round(avg({_F1}), 6) as f1 from pairs left join common using (id) group by grouping sets ((), (bucket_id), (dataset))", _PAIRS))
-def utility_em_f1(spark, d):
-    """Exact match and token F1; overlaps come from counted words, so long answers stay cheap."""
-    rows = _pairs(spark, d)
-    sized = rows.select("id", "bucket_id", "dataset", F.size("p").alias("n_p"), F.size("r").alias("n_r"), (F.col("p") == F.col("r")).cast("int").alias("em"))
-    rows = sized.join(M.word_overlap(rows), "id", "left").withColumn("f1", M.f1_of_counts(F.col("common"), F.col("n_p"), F.col("n_r")))
-    return rows.groupingSets([[], ["bucket_id"], ["dataset"]], "bucket_id", "dataset").agg(F.count("*").alias("n"), _r6(F.avg("em")).alias("em"), _r6(F.avg("f1")).alias("f1"))
-
-
 @query()
 def rouge_l(spark, d):
     rows = _pairs(spark, d).select("id", F.size("p").alias("n_p"), F.size("r").alias("n_r"), M.lcs_lengths("p", "r").alias("lcs"))
     return rows.select("id", _r6(M.f1_of_counts(F.col("lcs"), F.col("n_p"), F.col("n_r"))).alias("rouge_l"))
 
 
-@query(
-    _sql(
-        """select n, count(*) as total, count(distinct g) as unique_grams, round(count(distinct g) / count(*), 6) as distinct_n from (
- select 1 as n, w as g from ws union all select 2, w || ' ' || w2 from ws where w2 is not null union all select 3, w || ' ' || w2 || ' ' || w3 from ws where w3 is not null) group by n""",
-        _PAIRS,
-        "w0 as (select id, unnest(p) as w, generate_subscripts(p, 1) as i from pairs), ws as (select w, lead(w, 1) over o as w2, lead(w, 2) over o as w3 from w0 window o as (partition by id order by i))",
-    )
-)
-def distinct_n(spark, d):
-    rows = _pairs(spark, d)
-    made = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), T.ngrams(F.col("p"), n).alias("g")) for n in (1, 2, 3)]))
-    grams = rows.select(made.alias("s")).select("s.n", F.explode("s.g").alias("g"))
-    counts = grams.groupBy("n", "g").agg(F.count("*").alias("c"))  # combines before the shuffle
-    return counts.groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("unique_grams"), _r6(F.count("*") / F.sum("c")).alias("distinct_n"))
-
-
 @query()
 def self_bleu(spark, d):
     return M.self_bleu(_pairs(spark, d).select("id", "bucket_id", F.col("p").alias("words")))
@@ -528,7 +503,7 @@ def message_tree_ancestry(spark, d):
 
 def _all() -> None:
     """Registers the queries of the modules that build on this one."""
-    from tessera.plans import alignments, corpora, outputs  # noqa: F401
+    from tessera.plans import alignments, corpora, outputs, reports  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

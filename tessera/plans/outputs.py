@@ -168,7 +168,7 @@ def pca_index(spark, d):
     """Naturalness index of buckets from coverage and mean gap, against token F1."""
     known = C.queries()
     gaps = known["wasserstein_bng"](spark, d).groupBy("bucket_id").agg(F.avg("gap").alias("bng"))
-    use = known["utility_em_f1"](spark, d).where("bucket_id is not null").select("bucket_id", F.col("f1").alias("utility_qa_f1"))
+    use = known["utility_em_f1"](spark, d).where("bucket_id is not null").select("bucket_id", F.col("qa_f1").alias("utility_qa_f1"))
     table = use.join(known["human_coverage"](spark, d).select("bucket_id", "hcr"), "bucket_id", "left").join(gaps, "bucket_id", "left")
     return E.naturalness_index(table, "utility_qa_f1", ["bng", "hcr"])
 

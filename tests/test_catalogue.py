@@ -109,8 +109,33 @@ def test_word_overlap(spark):
     from collections import Counter
 
     made = [(1, ["a", "b", "a"], ["a", "a", "a"]), (2, [], []), (3, ["x"], []), (4, ["q", "r"], ["r", "q"])]
-    got = {r.id: r.common for r in M.word_overlap(spark.createDataFrame(made, "id long, p array<string>, r array<string>")).collect()}
-    assert got == {i: sum((Counter(p) & Counter(r)).values()) for i, p, r in made if p or r}
+    got = {r.id: r.common for r in spark.createDataFrame(made, "id long, p array<string>, r array<string>").select("id", T.common_words(F.col("p"), F.col("r")).alias("common")).collect()}
+    assert got == {i: sum((Counter(p) & Counter(r)).values()) for i, p, r in made}
+
+
+def test_principal_plane(spark, sf):
+    import numpy as np
+
+    from tessera.operators import reports as E
+
+    frame = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = frame.orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    _, _, vh = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    got = {r.vec_id: (r.x, r.y) for r in E.principal_plane(frame, "vec_id", "embedding").collect()}
+    plane = (x - x.mean(0)) @ vh[:2].T
+    mine = np.array([got[r.vec_id] for r in rows])
+    for k in range(2):
+        assert np.allclose(mine[:, k], plane[:, k], atol=1e-4) or np.allclose(mine[:, k], -plane[:, k], atol=1e-4)
+
+
+def test_running_sums(spark):
+    from tessera.operators import indexing as I
+
+    rows = spark.createDataFrame([(k, k * k) for k in (5, 3, 9, 1, 7, 2)], "k long, v long").repartition(3)
+    assert [(r.k, r.s) for r in I.running_sums(rows, "k", {"s": "v"}).orderBy("k").collect()] == [(1, 1), (2, 5), (3, 14), (5, 39), (7, 88), (9, 169)]
+    assert [(r.k, r.s) for r in I.running_sums(rows, "k", {"s": "v"}, descending=True).orderBy("k").collect()] == [(1, 169), (2, 168), (3, 164), (5, 155), (7, 130), (9, 81)]
+    assert M.roc_points(spark.createDataFrame([], "score double, positive boolean")).count() == 0
 
 
 def test_history_pairs(spark):
