@@ -219,26 +219,6 @@ def readability(spark, d):
     return X.with_arrays(_records(spark, d), "human_answer").select("id", *X.readability())
 
 
-@query(
-    _sql(
-        """select id, count(*) as types, sum(c)::bigint as tokens, round(count(*) / sum(c), 6) as ttr, round(count(*) / sqrt(sum(c)), 6) as root_ttr, round(count(*) / sqrt(2 * sum(c)), 6) as corrected_ttr,
- count(*) filter (c = 1) as hapax, count(*) filter (c = 2) as dislegomena, max(c) as max_frequency, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) as entropy from c1 group by id""",
-        _F,
-        f"c0 as (select id, lower(unnest(list_filter(t, lambda x: regexp_matches(x, '{X.LEXICAL}')))) as x from f1), c1 as (select id, x, count(*) as c from c0 group by 1, 2)",
-    )
-)
-def lexical_diversity(spark, d):
-    """Type and token measures of lexical tokens, from exploded counts, so that long texts
-    stay cheap; a text without such tokens has no row."""
-    words = X.lexical(T.tokens(F.col("human_answer")))
-    counts = _records(spark, d).select("id", F.explode(words).alias("x")).groupBy("id", "x").agg(F.count("*").alias("c"))
-    n = F.sum("c")
-    return counts.groupBy("id").agg(
-        F.count("*").alias("types"), n.alias("tokens"), _r6(F.count("*") / n).alias("ttr"), _r6(F.count("*") / F.sqrt(n)).alias("root_ttr"), _r6(F.count("*") / F.sqrt(2 * n)).alias("corrected_ttr"),
-        F.count_if(F.col("c") == 1).alias("hapax"), F.count_if(F.col("c") == 2).alias("dislegomena"), F.max("c").alias("max_frequency"), _r6(F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy"),
-    )
-
-
 @query(_sql("select id, " + ", ".join(f"len(regexp_extract_all(a, '{p}'))::bigint as {n}" for n, p in X.COUNTED.items()) + " from f1", _F))
 def surface_counts(spark, d):
     return X.with_arrays(_records(spark, d), "human_answer").select("id", *X.counted(X.COUNTED))
@@ -503,7 +483,7 @@ def message_tree_ancestry(spark, d):
 
 def _all() -> None:
     """Registers the queries of the modules that build on this one."""
-    from tessera.plans import alignments, corpora, outputs, reports  # noqa: F401
+    from tessera.plans import alignments, corpora, featuring, outputs, reports  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
