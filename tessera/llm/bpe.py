@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -52,7 +53,9 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.chunks = re.compile(r"(?<=\S)(?= \S)").split
+        # Cutting at spaces first is right for the pattern it was made for; any other is applied to whole texts.
+        self.chunks = re.compile(r"(?<=\S)(?= \S)").split if pattern == public_tokenizers.PATTERN else (lambda text: [text])
+        self.plain = _PLAIN if pattern == public_tokenizers.PATTERN else (lambda chunk: None)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._pieces: dict[str, bytes] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
@@ -182,7 +185,7 @@ class Encoder:
         for chunk in self.chunks(text):
             packed = known.get(chunk)
             if packed is None:
-                packed = array("I", self.encode_piece(chunk.encode())).tobytes() if _PLAIN(chunk) else self._encode_chunk(chunk)
+                packed = array("I", self.encode_piece(chunk.encode())).tobytes() if self.plain(chunk) else self._encode_chunk(chunk)
                 if len(chunk) <= MAX_REMEMBERED:
                     if len(known) >= MAX_PIECES:
                         known.clear()

@@ -82,7 +82,7 @@ timed as (select *, 1700000000 + ((n % 9973) + 9973) % 9973 * 37 as t0,
 split_ as (select *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)$', ''), '^www\d*\.', '') as host,
  regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') as path,
  array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '(?i)^{warc.TRACKING}(=|$)'))), '&') as query from timed),
-keyed as (select *, host || (case when path = '' then '/' else path end) || (case when query = '' then '' else '?' || query end) as key from split_),
+keyed as (select *, case when regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://') then host || (case when path = '' then '/' else path end) || (case when query = '' then '' else '?' || query end) else trim(url) end as key from split_),
 responses as (select key, n * 3 as response_id, t0 as response_time, tag as response_tag, sum from keyed),
 revisits as (select key, url, n * 3 + 1 as record_id, t0 + 3600 as time, case when n % 7 = 0 then '"changed"' else 'W/' || tag end as etag from keyed
  union all select key, url, n * 3 + 2, case when n % 5 = 0 then t0 - 60 else t0 + 200000 end, tag from keyed),

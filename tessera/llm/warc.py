@@ -9,7 +9,8 @@ The join is a running maximum.  A URL's records are cut into time buckets, each
 scanned by itself, and a second scan over one summary a bucket carries the latest
 response across buckets; a URL with most of the records is thus many small tasks.
 
-Defined cases: a null URL or time matches nothing; equal times are not earlier; of
+Defined cases: a URL without a scheme is compared as it is; header names that differ
+by case only count once; a null URL or time matches nothing; equal times are not earlier; of
 responses at one time the largest record_id counts; null headers are empty;
 repeated records are kept; extra columns are ignored.
 """
@@ -29,27 +30,39 @@ BUCKET = 86_400
 # Header fields that a 304 response may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 # Query fields that name no resource.
-TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref|sessionid|phpsessid)"
+TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|sessionid|phpsessid)"
 
 RECORDS = "record_id long, type string, url string, time long, etag string, last_modified string, headers map<string,string>, digest string"
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case host without www and default port, no fragment, tracking or end slash."""
-    u = F.regexp_replace(F.trim(url), "#.*$", "")
+    """Lower-case host without www and default port, no fragment, tracking or end slash.
+
+    A URL without ``scheme://`` names nothing on a host: it stays as it is, but for white space at its ends.
+    """
+    bare = F.trim(url)
+    u = F.regexp_replace(bare, "#.*$", "")
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)", 1))
     host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\d*\.", "")
     path = F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), "/+$", "")
     fields = F.array_sort(F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(f"(?i)^{TRACKING}(=|$)")))
     query = F.array_join(fields, "&")
-    return F.concat(host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    known = F.concat(host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), known).otherwise(bare)
+
+
+def by_lower_name(headers: Column) -> Column:
+    """Headers by lower-case name; of names that differ by case only, the first in code-point order of the names counts."""
+    entries = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("key"), e["value"].alias("value"))))
+    first = F.filter(entries, lambda e, i: (i == 0) | ~e["name"].eqNullSafe(F.get(entries, i - 1)["name"]))
+    return F.map_from_entries(F.transform(first, lambda e: F.struct(e["name"], e["value"])))
 
 
 def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One row a revisit: the response it stands for, or why there is none."""
     rows = records.select(*[c.split()[0] for c in RECORDS.split(", ")]).withColumn("key", canonical_url(F.col("url"))).withColumn("span", F.floor(F.col("time") / bucket))
     none = F.create_map().cast("map<string,string>")
-    rows = rows.withColumn("headers", F.map_from_entries(F.transform(F.map_entries(F.coalesce("headers", none)), lambda e: F.struct(F.lower(e["key"]), e["value"]))))
+    rows = rows.withColumn("headers", by_lower_name(F.coalesce("headers", none)))
     whole = F.when(F.col("type") == "response", F.struct("time", "record_id", "etag", "last_modified", "digest", F.to_json("headers").alias("headers")))
     rows = rows.withColumn("full", whole)
     usable = rows.where("key is not null and time is not null")
@@ -93,7 +106,8 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline().rstrip(b"\r\n")):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        yield fields, stream.read(int(fields.get("content-length", 0)))
+        length = fields.get("content-length", "")
+        yield fields, stream.read(int(length) if length.isdigit() else 0)  # a bad length is none: the next header is sought
 
 
 def http_parts(block: bytes) -> tuple[int, dict[str, str], bytes]:
@@ -118,9 +132,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for fields, block in parse_records(content):
                     if fields.get("warc-type") in ("response", "revisit"):
                         _, http, body = http_parts(block)
-                        when = pd.Timestamp(fields["warc-date"]) if "warc-date" in fields else None
+                        when = pd.to_datetime(fields.get("warc-date"), errors="coerce", utc=True)  # a bad date is none
                         ident = int.from_bytes(hashlib.sha256(fields.get("warc-record-id", "").encode()).digest()[:8], "big", signed=True)
-                        rows.append((ident, fields["warc-type"], fields.get("warc-target-uri"), None if when is None else int(when.timestamp()), http.get("etag"), http.get("last-modified"), http, fields.get("warc-payload-digest"), body))
+                        rows.append((ident, fields["warc-type"], fields.get("warc-target-uri"), None if when is None or pd.isna(when) else int(when.timestamp()), http.get("etag"), http.get("last-modified"), http, fields.get("warc-payload-digest"), body))
                 if rows:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 

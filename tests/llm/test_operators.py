@@ -500,6 +500,61 @@ def test_html_leaves_out_texts_of_the_template(spark):
     assert got == {i: whole.format(i) for i in range(5)} | {10 + i: whole.format(0) for i in range(4)} | {20: "Other"} | {30 + i: f"Summary\nOwn long text of page number {i}." for i in range(5)}
 
 
+def brute_templates(pages):
+    """{host: (slots, texts)} by whole occurrence vectors, page by page."""
+    hosts = {}
+    for i, (host, source) in enumerate(pages):
+        hosts.setdefault(host, []).append((i, extract.Page(source)))
+    out = {}
+    for host, found in hosts.items():
+        vectors, told = {}, {}
+        for i, page in found:
+            own = page.roots()
+            for n in page.nodes:
+                vectors.setdefault(n.key, Counter())[i] += 1
+                at = told.setdefault(n.key, [0, Counter(), False, False])
+                at[0] += n.text - n.linked
+                at[1][i] |= int(n in own)
+                at[2] |= n.skip
+            for key, _ in page.blocks(own):
+                if key:
+                    vectors.setdefault(key, Counter())[i] += 1
+                    told.setdefault(key, [0, Counter(), False, True])
+        frequent = {k: tuple(sorted(v.items())) for k, v in vectors.items() if len(v) >= extract.LEAST_PAGES and len(v) >= extract.SUPPORT * len(found)}
+        members = Counter(frequent.values())
+        valid = {k for k, v in frequent.items() if members[v] >= extract.LEAST_CLASS}
+        slots = {k for k in valid if not told[k][3] and not told[k][2] and told[k][0] > 0 and all(c == 1 for _, c in frequent[k]) and 2 * sum(told[k][1].values()) > len(frequent[k])}
+        texts = {k for k, v in frequent.items() if told[k][3] and len(v) >= extract.LEAST_TEXT and v in {frequent[s] for s in slots}}
+        if slots or texts:
+            out[host] = (slots, texts)
+    return out
+
+
+def test_html_classes_against_brute_force(spark, sf):
+    """Hashed vectors and sums find the classes that whole vectors find."""
+    rng = random.Random(17)
+    pages = [(r.url.split("/")[2].lower(), r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    bits = ['<div class="x{}">same {}</div>', "<p>para {}</p>", '<ul class="q"><li><a href=a>l {}</a></li></ul>', "<section><h2>t {}</h2><p>same</p></section>"]
+    for h in range(6):
+        shape = [rng.choice(bits) for _ in range(rng.randint(2, 5))]
+        for i in range(rng.randint(2, 7)):
+            body = "".join(b.replace("{}", rng.choice(["k", str(i)])) for b in shape if rng.random() < 0.9)
+            pages.append((f"h{h}.example", f"http://h{h}.example/{i}", rng.choice(["<body>{}</body>", "<body><article>{}</article></body>"]).replace("{}", body)))
+    frame = spark.createDataFrame([(i, u, t) for i, (_, u, t) in enumerate(pages)], "page_id long, url string, html string")
+    unsigned = lambda ks: {k & 0xFFFFFFFFFFFFFFFF for k in ks}
+    got = {r.host: (unsigned(r.slots), unsigned(r.texts)) for r in extract.templates(frame).collect()}
+    assert got == brute_templates([(h, t) for h, _, t in pages]) and any(t for _, t in got.values())
+
+
+def test_html_boilerplate_with_neutral_names(spark):
+    """Menus, notices and footers that only the template tells are left out; what varies stays."""
+    page = "<body><div class=k1><a href=/>Home</a> <a href=/b>News</a></div><div class=k2><h1>Title {i}</h1><p>Own text of page {i}, which is long enough to read.</p><p>It goes on for {i} lines.</p></div><div class=k3>We store files on your device.</div><div class=k4>Made by the people of this place.</div></body>"
+    frame = spark.createDataFrame([(i, f"http://n.example/{i}", page.format(i=i)) for i in range(6)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract_pages(frame).collect()}
+    assert got == {i: f"Title {i}\nOwn text of page {i}, which is long enough to read.\nIt goes on for {i} lines." for i in range(6)}
+    assert all("device" in extract.extract(page.format(i=i)) for i in range(6))  # without the template they stay
+
+
 def test_warc_revisits(spark):
     rng = random.Random(4)
     urls = ["http://www.A.example:80/x/?utm_source=f&b=2&a=1#top", "https://a.example/x?a=1&b=2", "http://b.example/", None]
@@ -529,6 +584,30 @@ def test_warc_revisits(spark):
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
 
 
+def test_warc_odd_urls_and_headers(spark):
+    """URLs without a scheme are their own; header names that differ by case do not end the job."""
+    heads = {"ETag": '"1"', "etag": '"2"', "X": "y"}
+    made = [(1, "response", "mailto:zz", 10, '"1"', None, heads, "d1"), (2, "revisit", "mailto:yy", 20, '"1"', None, None, None), (3, "revisit", " mailto:zz", 20, '"1"', None, {"Date": "d", "date": "e"}, None), (4, "revisit", "http://a/?ref=1", 20, '"1"', None, None, None), (5, "response", "http://a/?ref=2", 10, '"1"', None, None, "d5"), (6, "response", "", 1, None, None, None, "d6")]
+    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(made, warc.RECORDS)).collect()}
+    assert (got[2].status, got[3].status, got[4].status, got[3].response_id) == ("no-earlier-response", "resolved", "no-earlier-response", 1)
+    assert got[3].headers == '{"date":"d","etag":"\\"1\\"","x":"y"}'
+
+
+def test_warc_bad_fields(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: never\r\nContent-Length: much\r\n\r\nHTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\nContent-Length: 0\r\n\r\n")
+    assert [(r.type, r.time) for r in warc.read_warc(spark, str(tmp_path)).collect()] == [("response", None), ("revisit", None)]
+
+
+def test_bpe_with_another_pattern():
+    pattern = r" ?\p{Lu}?\p{Ll}+|\s+|."
+    coder = bpe.Encoder(bpe.load_ranks(PATH), pattern)
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = random.Random(3)
+    for _ in range(300):
+        t = "".join(rng.choice(["Aa", "bB", " ", "  ", "\n", "CamelCase", "1x", "é"]) for _ in range(rng.randint(0, 30)))
+        assert memoryview(coder.encode_packed(t)).cast("I").tolist() == library.encode_ordinary(t)
+
+
 def test_warc_against_sql(spark, sf):
     import duckdb
 
