@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.generation import strip
+from tessera.functions import text as T
 from tessera.functions.text import normalize_text as norm
+from tessera.operators import corpus as K
 from tessera.operators.trees import chains
 
 TURNS = "array<struct<role:string,text:string>>"
@@ -69,6 +71,12 @@ def span_answers(raw: DataFrame, keep_unanswered: bool = True) -> DataFrame:
     return rows if keep_unanswered else rows.where("human_answer <> ''")
 
 
+def first_spans(raw: DataFrame) -> DataFrame:
+    """id, context, question, answers.text: the first answer that is not blank; rows without one go."""
+    answer = _first_text(F.coalesce("answers.text", F.array().cast("array<string>")))
+    return raw.select(*_record(F.col("id"), F.col("context"), F.col("question"), F.col("context"), answer)).where("human_answer <> ''")
+
+
 def query_answer(raw: DataFrame) -> DataFrame:
     key = F.concat_ws("::", "query", "answer")
     return raw.select(*_record(F.sha1(key), key, F.col("query"), F.lit(""), F.col("answer")))
@@ -155,10 +163,61 @@ def message_tree(raw: DataFrame) -> DataFrame:
 
 
 FORMATTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    f.__name__: f for f in (instruction, passages, story_turns, scored_answers, span_answers, query_answer, nested_paragraphs, many_answers, alternating_dialogue, task_dialogue, search_answers, human_written, message_tree)
+    f.__name__: f for f in (instruction, passages, story_turns, scored_answers, span_answers, first_spans, query_answer, nested_paragraphs, many_answers, alternating_dialogue, task_dialogue, search_answers, human_written, message_tree)
 }
 
 
 def format_records(name: str, raw: DataFrame) -> DataFrame:
     """Records of ``raw`` by a registered formatter; an unknown name is a KeyError."""
     return FORMATTERS[name](raw)
+
+
+# Of each dataset its formatter, language, track, family, style and, where its own splits are not kept, the shares of its splits by group.
+_THREE, _TWO = [("train", 0.9), ("dev", 0.05), ("test", 0.05)], [("train", 0.9), ("dev", 0.1)]
+DATASETS = {
+    "dolly": (instruction, "en", "single", "assistant", "assistant_like", _THREE),
+    "ms_marco": (passages, "en", "single", "qa", "qa_search", None),
+    "coqa": (story_turns, "en", "multi", "qa", "qa_search", _TWO),
+    "eli5_category": (scored_answers, "en", "single", "qa", "longform_qa", None),
+    "squad_v2": (span_answers, "en", "single", "qa", "qa_search", _TWO),
+    "natural_questions": (query_answer, "en", "single", "qa", "qa_search", _THREE),
+    "dailydialog": (alternating_dialogue, "en", "multi", "dialogue", "open_chat", None),
+    "multiwoz": (task_dialogue, "en", "multi", "dialogue", "task_dialogue", None),
+    "oasst2_zh": (message_tree, "zh", "multi", "dialogue", "open_chat", _TWO),
+    "dureader": (search_answers, "zh", "single", "qa", "qa_search", None),
+    "cmrc2018": (first_spans, "zh", "single", "qa", "qa_search", None),
+    "drcd": (nested_paragraphs, "zh", "single", "qa", "qa_search", None),
+    "hc3_chinese": (many_answers, "zh", "single", "qa", "longform_qa", _THREE),
+    "coig_cqia": (human_written, "zh", "single", "assistant", "assistant_like", _THREE),
+}
+ALIASES = {"eli5": "eli5_category", "nq": "natural_questions"}
+ENGLISH = [name for name, (_, language, *_rest) in DATASETS.items() if language == "en"]
+CHINESE = [name for name, (_, language, *_rest) in DATASETS.items() if language == "zh"]
+# The datasets' splits by the names used here.
+SPLIT_NAMES = {"train": "train", "validation": "dev", "dev": "dev", "test": "test"}
+
+
+def dataset_records(name: str, raw: DataFrame, source_split: str = "train", seed: int = 42) -> DataFrame:
+    """Records of a dataset's raw rows in the whole schema; an unknown name is a KeyError.
+
+    Where a dataset is split by hash, the training rows are dealt by group, and its
+    validation rows are the test split; else its own splits are kept.
+    """
+    known = ALIASES.get(name, name)
+    if known not in DATASETS:
+        raise KeyError(f"unknown dataset {name!r}; there are {', '.join(sorted([*DATASETS, *ALIASES]))}")
+    formatter, language, track, family, style, shares = DATASETS[known]
+    rows = formatter(raw)
+    if shares is None:
+        split = F.lit(SPLIT_NAMES[source_split])
+    elif source_split == "train":
+        split = T.choose_split(T.hash_fraction(seed, F.col("group_key")), shares)
+    else:
+        split = F.lit("test")
+    rows = rows.withColumns({"dataset": F.lit(known), "split": split, "language": F.lit(language), "track": F.lit(track), "family": F.lit(family), "style_bucket": F.lit(style), "dialogue_history": F.col("history")})
+    meta = {"source_split": F.lit(source_split), "source_id": F.col("id")}
+    if track == "multi":
+        meta["num_history_turns"] = F.size("history")
+    if known in K.GROUP_FIELD:
+        meta[K.GROUP_FIELD[known]] = F.col("group_key")
+    return K.build_records(rows, meta)

@@ -19,7 +19,10 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Files that each are one array of objects."""
+    """Files that each are one array of objects; any other file is refused."""
+    starts = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"^\s*(.)", 1).alias("c"))
+    if starts.where("c <> '['").limit(1).count():
+        raise ValueError(f"{path}: not an array")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
@@ -39,13 +42,13 @@ def split_objects(text: str) -> list[str]:
 
 
 def concatenated_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Several objects a line, one after the other; objects do not span lines."""
+    """Several objects a file, one after the other, over any number of lines; a file is one value."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"value": [o for line in frame["value"] for o in split_objects(line)]})
+            yield pd.DataFrame({"value": [o for text in frame["value"] for o in split_objects(text)]})
 
-    rows = spark.read.text(path).mapInPandas(run, "value string")
+    rows = spark.read.text(path, wholetext=True).mapInPandas(run, "value string")
     return rows.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 

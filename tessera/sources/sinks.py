@@ -37,6 +37,18 @@ def csv(rows: DataFrame, path: str, existing: str = "error", header: bool = True
     rows.write.mode(MODES[existing]).option("header", header).csv(path)
 
 
+def dataset_manifest(counts: DataFrame, dataset: str, **stated: object) -> dict:
+    """What is stated about a dataset: its split counts out of (dataset, split, n), and what the caller adds."""
+    found = {r["split"]: r["n"] for r in counts.where(F.col("dataset") == dataset).collect()}  # at most four splits
+    return {"dataset": dataset, **stated, "split_counts": dict(sorted(found.items())), "status": "complete" if found else "empty"}
+
+
+def merge_summaries(old: list[dict], new: list[dict], expected: list[str], key: str = "source_id") -> dict:
+    """Summaries by key: a new one takes its old one's place, others follow; and the expected keys that neither has."""
+    merged = {r[key]: r for r in old} | {r[key]: r for r in new}
+    return {"sources": list(merged.values()), "missing": [k for k in expected if k not in merged]}
+
+
 def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of both by key; a row of ``new`` replaces the one of ``old`` whole."""
     return old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
