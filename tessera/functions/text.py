@@ -92,6 +92,16 @@ def gram_hashes(hashes: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def gram_key(words: Column) -> Column:
+    """The hash that ``gram_hashes`` gives an n-gram of up to eight words."""
+    hashed = word_hashes(words)
+    found = F.lit(None).cast("long")
+    for n in range(1, 9):
+        key = F.get(hashed, F.lit(0)) if n == 1 else F.xxhash64(*[F.get(hashed, F.lit(i)) for i in range(n)])
+        found = F.when(F.size(words) == n, key).otherwise(found)
+    return found
+
+
 def common_words(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two word arrays, in one pass over their sorted 63-bit hashes; no shuffle."""
     side = lambda words, bit: F.transform(words, lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 1), 1) + bit)

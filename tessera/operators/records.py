@@ -17,8 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where their files give fewer partitions than there are; larger tables stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def single_records(docs: DataFrame) -> DataFrame:
     """Single-turn records of documents."""
+    docs = spread(docs.select("doc_id", "source", "lang", "text"))
     rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"), F.col("lang").alias("language"), T.normalize_text(F.col("text")).alias("human_answer"))
     rows = rows.withColumn("n_tokens", F.size(T.tokens(F.col("human_answer"))).cast("long"))
     rows = rows.withColumn("length_bin", T.length_bin(F.col("n_tokens")))

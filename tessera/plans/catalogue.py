@@ -24,6 +24,8 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 LEAST = 20
+#: Item keys up to which a text's n-grams are filtered before they leave it.
+LEAK_KEYS = 2_000
 
 _LINES = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text,''),'\r\n?',chr(10),'g'),'{T.WS}+',' ','g'),' *\n *',chr(10),'g'),'^[ \n]+|[ \n]+\z','','g')"""
 _NORM = rf"""regexp_replace({_LINES},'\n{{3,}}',chr(10)||chr(10),'g')"""
@@ -102,20 +104,32 @@ def benchmark_leak(spark, d):
     """Documents that hold the text of a benchmark item.
 
     Items are found by up to eight of their inner words and verified whole: an
-    equi-join, not every document against every item.  Only items of under three
-    words, which have no inner word, are compared with each document.
+    equi-join on hashes, one width at a time, verified beside the text.  Only items of
+    under three words, which have no inner word, are compared with each document.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    items = R.table(spark, d, "benchmark").where("text <> ''").select("item_id", F.lower("text").alias("needle"), words(F.col("text")).alias("w"))
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    items = R.table(spark, d, "benchmark").where("text <> ''").select("item_id", F.lower("text").alias("needle")).withColumn("w", words(F.col("needle")))
     width = F.least(F.lit(8), F.greatest(F.lit(0), F.size("w") - 2))
-    items = items.select("item_id", "needle", width.alias("k"), F.array_join(F.slice("w", F.lit(2), width), " ").alias("key"))
-    docs = R.table(spark, d, "documents").where("text is not null").select("doc_id", F.lower("text").alias("hay"), words(F.col("text")).alias("w"))
-    widths = [r[0] for r in items.select("k").where("k > 0").distinct().collect()]  # at most eight
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[T.ngrams(F.col("w"), k) for k in widths] or [F.array().cast("array<string>")])))).alias("key"))
-    met = grams.join(items.where("k > 0").select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    sure = met.join(docs.select("doc_id", "hay"), "doc_id").join(items.select("item_id", "needle"), "item_id").where(F.contains("hay", "needle"))
-    tiny = docs.join(items.where("k = 0"), F.contains("hay", "needle"))
-    return sure.select("doc_id", "item_id").union(tiny.select("doc_id", "item_id")).groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    items = items.select("item_id", "needle", width.alias("k"), T.gram_key(F.slice("w", F.lit(2), width)).alias("key"))
+    docs = R.spread(R.table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", F.lower("text").alias("hay"))
+    hashed = docs.select("doc_id", "hay", T.word_hashes(words(F.col("hay"))).alias("h"))
+    found = []
+    for k in sorted(r[0] for r in items.select("k").where("k > 0").distinct().collect()):  # at most eight widths
+        of = items.where(F.col("k") == k)
+        keys = [r[0] for r in of.select("key").distinct().limit(LEAK_KEYS + 1).collect()]
+        grams = F.array_distinct(T.gram_hashes(F.col("h"), k))
+        if len(keys) <= LEAK_KEYS:  # few items: only their own grams leave a text
+            grams = F.array_intersect(grams, F.array(*[F.lit(x) for x in keys]))
+        met = hashed.select("doc_id", "hay", F.explode(grams).alias("key")).join(of.select("item_id", "needle", "key"), "key")
+        found.append(met.where(F.contains("hay", "needle")).select("doc_id", "item_id"))
+    if items.where("k = 0").limit(1).count():
+        found.append(docs.join(items.where("k = 0"), F.contains("hay", "needle")).select("doc_id", "item_id"))
+    if not found:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_items")).limit(0)
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionByName(f)
+    return whole.distinct().groupBy("doc_id").agg(F.count("*").alias("n_items"))
 
 
 TURNS = f"""

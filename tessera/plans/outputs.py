@@ -29,7 +29,7 @@ _BAD = G.any_of(G.DIALECTS["dist_sft"].bad_starts)
 
 
 def _replies(spark, d):
-    docs = R.table(spark, d, "documents")
+    docs = R.spread(R.table(spark, d, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.concat(F.lit(" Answer: "), text, F.lit("\r\nquestion\nUser: "), text).alias("reply"))
 
