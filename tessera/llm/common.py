@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where their files give fewer partitions than there are; larger tables stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
@@ -68,6 +74,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     system.delete(p, True)
 
 
+def release() -> None:
+    """Give this worker's free memory back to the system: an idle worker shares its executor with the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns of ``df`` alone, so that extra ones cannot clash."""
     return df.select(*[df[n] for n in names])

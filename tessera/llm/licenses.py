@@ -67,9 +67,19 @@ def grams(words: list[str]) -> set[int]:
     return {*single, *map(pair, single, single[1:])}
 
 
+#: Bits of a gram's hash that are its place in the tables.
+PLACE_BITS = 16
+
+
+def place_of(gram: int, shift: int) -> int:
+    return (gram >> shift) & ((1 << PLACE_BITS) - 1)
+
+
 @dataclass(frozen=True)
 class Model:
     known: tuple[int, ...]
+    #: Where in a hash its place begins; no two known grams share one.
+    shift: int
     gate: np.ndarray
     gate_bias: float
     weights: np.ndarray
@@ -106,8 +116,10 @@ def _regression(x: np.ndarray, y: np.ndarray, steps: int, rate: float = 2.0, dec
 def model() -> Model:
     told = [words for _, words, _ in templates()] + [words[:12] for words, label in sample(3) if label == "unknown"]
     idle = {g for words in told for pair in zip(words, words[1:]) if FUNCTION.issuperset(pair) for g in grams(list(pair))} | {g for w in FUNCTION for g in grams([w])}
-    known = tuple(sorted({g for words in told for g in grams(words)} - idle))
-    blank = Model(known, np.zeros(0), 0.0, np.zeros(0), np.zeros(0), 1.0, 0.0)
+    found = sorted({g for words in told for g in grams(words)} - idle)
+    shift = max(range(0, 64 - PLACE_BITS, 4), key=lambda k: len({place_of(g, k) for g in found}))
+    known = tuple({place_of(g, shift): g for g in reversed(found)}.values())
+    blank = Model(known, shift, np.zeros(0), 0.0, np.zeros(0), np.zeros(0), 1.0, 0.0)
     rows = sample(1)
     x = blank.matrix([grams(words) for words, _ in rows])
     labels = np.array([CLASSES.index(label) for _, label in rows])
@@ -126,7 +138,7 @@ def model() -> Model:
     p = _softmax((blank.matrix([grams(words) for words, _ in outside]) @ w + b) / temperature)
     least = float(np.quantile(np.where(p.argmax(1) < UNKNOWN, p.max(1), 0.0), 1 - LEAK))
     flat = lambda a: np.round(a.astype(float), 4)
-    return Model(known, flat(gate[:, 0] - gate[:, 1]), float(flat(np.array(gate_bias))), flat(w), flat(b), round(temperature, 4), round(min(max(least, 0.5), 0.95), 4))
+    return Model(known, shift, flat(gate[:, 0] - gate[:, 1]), float(flat(np.array(gate_bias))), flat(w), flat(b), round(temperature, 4), round(min(max(least, 0.5), 0.95), 4))
 
 
 def _numbers(values, kind: str) -> Column:
@@ -153,14 +165,25 @@ def grams_in(words: Column) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), both)
 
 
-def _places(found: Column, known: Column) -> Column:
-    return F.transform(F.array_intersect(found, known), lambda g: (F.array_position(known, g) - 1).cast("int"))
+def _table(m: Model, values, kind: str, blank="0") -> Column:
+    """A constant array that holds each known gram's value at its place."""
+    rows = [blank] * (1 << PLACE_BITS)
+    for g, v in zip(m.known, values, strict=True):
+        rows[place_of(g, m.shift)] = v
+    return _numbers(rows, kind)
+
+
+def _places(found: Column, m: Model) -> Column:
+    """Places of the distinct known grams."""
+    known = _table(m, m.known, "bigint")
+    place = lambda g: F.shiftrightunsigned(g, m.shift).bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")).cast("int")
+    return F.transform(F.array_distinct(F.filter(found, lambda g: F.get(known, place(g)) == g)), place)
 
 
 def gate(line: Column, m: Model) -> Column:
     """Whether a line may be a licence notice."""
-    known, weights = _numbers(m.known, "bigint"), _numbers(m.gate, "double")
-    total = F.aggregate(_places(grams_in(words_in(line)), known), F.lit(m.gate_bias), lambda a, p: a + F.get(weights, p))
+    weights = _table(m, m.gate, "double")
+    total = F.aggregate(_places(grams_in(words_in(line)), m), F.lit(m.gate_bias), lambda a, p: a + F.get(weights, p))
     return total > 0
 
 
@@ -169,7 +192,7 @@ _VERDICT = "struct<family:string,probability:double,likeness:double>"
 
 def classify(paragraph: Column, m: Model) -> Column:
     """struct(family, probability, likeness) of one paragraph."""
-    known, weights, bias = _numbers(m.known, "bigint"), _numbers(m.weights.ravel(), "double"), _numbers(m.bias, "double")
+    weights, bias, rows = _numbers(m.weights.ravel(), "double"), _numbers(m.bias, "double"), _table(m, range(len(m.known)), "int")
     n = len(CLASSES)
     texts = lambda ws: "array(" + ",".join(f"'{w}'" for w in ws) + ")" if ws else "cast(array() as array<string>)"
     listed = [(CLASSES.index(family), passage, sorted(grams(words)), keys) for (family, words, passage), keys in zip(templates(), key_words(), strict=True)]
@@ -177,7 +200,7 @@ def classify(paragraph: Column, m: Model) -> Column:
     names, versions = F.array(*[F.lit(c) for c in CLASSES]), F.array(*[F.lit(VERSIONS.get(c)).cast("string") for c in CLASSES])
 
     def judged(x: Column) -> Column:
-        places = _places(x["grams"], known)
+        places = F.transform(_places(x["grams"], m), lambda p: F.get(rows, p))
         logits = _let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.aggregate(ps, F.get(bias, c), lambda a, p: a + F.get(weights, p * n + c))))
 
         def decide(z: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, extract, licenses, mixing, quality, secrets, simhash, sketch, tokenfiles, warc
-from .common import table
+from .common import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,7 @@ FLAT_VOCABULARY, FLAT_EOD = "byte_bpe_50k.tiktoken", 50_256
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score_documents(spark, spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels"))
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 def _flat_encoder():
@@ -40,20 +40,20 @@ def _flat_encoder():
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfiles.count_documents(table(spark, sf_dir, "documents"), _flat_encoder, FLAT_EOD)
+    return tokenfiles.count_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), _flat_encoder, FLAT_EOD)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(table(spark, sf_dir, "documents"))
+    return mixing.mix_report(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.dedup_components(table(spark, sf_dir, "documents"))
+    rows = simhash.dedup_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
     return rows.select("doc_id", simhash.fp_hex(rows.fp).alias("fingerprint"), "component_id")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract.extract_pages(spread(table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +61,11 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.encode_digests(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 def queries() -> dict[str, Query]:

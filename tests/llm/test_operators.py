@@ -99,6 +99,35 @@ def test_quality_verdict_at_every_size(spark, n):
     assert not kept & {10_000 + i for i in range(4)} and len(kept) >= 0.97 * n
 
 
+def test_quality_ratio_against_brute_force(spark):
+    """Scores, the threshold and the verdicts, from plain counts of n-gram buckets."""
+    import math
+
+    params = quality.QualityParams(bits=10)
+    texts = {i: prose(i, 60 + i % 50) for i in range(60)} | {100 + i: prose(500 + i, 80).replace("a", "%") for i in range(6)}
+    trusted = set(range(0, 60, 2))
+    frame = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    grams = {i: Counter(quality.ngram_buckets(wordhash.word_codes(t.encode()), params.bits).tolist()) for i, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        if i in trusted:
+            target.update(g)
+
+    def score(g, own):
+        total = sum(target.values()) - sum(own.values())
+        ratio = lambda b: math.log(((target[b] - own[b]) / total / (raw[b] / sum(raw.values())) + params.prior) / (1 + params.prior))
+        return sum(n * ratio(b) for b, n in g.items()) / sum(g.values())
+
+    held = sorted(score(grams[i], grams[i]) for i in trusted)
+    at = lambda q: held[int(q * (len(held) - 1))] + (q * (len(held) - 1) % 1) * (held[min(len(held) - 1, int(q * (len(held) - 1)) + 1)] - held[int(q * (len(held) - 1))])
+    threshold = at(params.quantile) - params.margin * (at(0.5) - at(params.quantile))
+    for r in quality.score_documents(spark, frame, labels, params).collect():
+        want = score(grams[r.doc_id], Counter())
+        assert abs(r.llr - want) < 1e-9 and r.kept == (not r.base_failed and want >= threshold)
+
+
 def test_fingerprints(spark, docs, none):
     unique = [(i, r[1], *r[2:]) for i, r in enumerate(rows())]
     frame = spark.createDataFrame(unique, DOCS).repartition(4)
