@@ -146,7 +146,12 @@ def multi_turn_records(spark, d):
     return rows.select("conv_id", "turn", F.md5("question").alias("question_md5"), F.size("history").cast("long").alias("n_history"), "n_tokens")
 
 
-@query()
+@query(
+    f"""with {TURNS}, e as (select conv_id, turn, question, unnest(history) as t, generate_subscripts(history, 1) as k, len(history) as n from turns),
+ f as (select conv_id, turn, k, t.role as role, t.text as text from e where t.text <> '' and not (k = n and t.role = 'user' and t.text = question)),
+ g as (select *, max(k) filter (role = 'assistant') over w as said, max(k) filter (role = 'user') over w as asked from f window w as (partition by conv_id, turn order by k rows between unbounded preceding and 1 preceding))
+ select g.conv_id, g.turn, (row_number() over (partition by g.conv_id, g.turn order by g.k) - 1)::int as i, u.text as user, g.text as assistant from g join f u on u.conv_id = g.conv_id and u.turn = g.turn and u.k = g.asked where g.role = 'assistant' and g.asked > coalesce(g.said, 0)"""
+)
 def history_pairs(spark, d):
     rows = R.turn_records(R.table(spark, d, "conversations"))
     return rows.select("conv_id", "turn", R.history_pairs(F.col("history"), F.col("question")).alias("p")).select("conv_id", "turn", F.posexplode("p").alias("i", "pair")).select("conv_id", "turn", "i", F.get("pair", F.lit(0)).alias("user"), F.get("pair", F.lit(1)).alias("assistant"))
