@@ -114,6 +114,7 @@ def _prints(width: int):
                 longs = [pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in range(2)]
                 columns = [ids, hashes, pa.array(nodes, pa.int64()), pa.array([m[2] for m in made], pa.int64()), *longs]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PRINTS.split(", ")])
+        common.release()
 
     return run
 
@@ -169,13 +170,14 @@ def linked(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     size = members.groupBy("slot").agg(F.count("*").alias("size"))
     sized = members.join(size, "slot")
     met = sized.where("stored").groupBy("node").agg(F.sum("size").alias("met"))
-    members = written(sized.join(met, "node", "left").select("slot", "node", "size", F.coalesce("met", F.lit(0)).alias("met")), "met")
+    members = written(sized.join(met, "node", "left").select("slot", "node", "stored", "size", F.coalesce("met", F.lit(0)).alias("met")), "met")
 
-    labelled, links, roots = members.withColumn("root", F.col("node")), None, nodes.select("node", F.col("node").alias("root")).limit(0)
+    labelled, roots = members.withColumn("root", F.col("node")), nodes.select("node", F.col("node").alias("root")).limit(0)
     for turn in range(ROUNDS + 1):
         mixed = labelled.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("slot")
         left = labelled.join(mixed, "slot", "left_semi")
-        if turn < ROUNDS:  # each with the one that meets most, in later rounds of another component each time
+        if turn < ROUNDS:  # those stored there with the one that meets most, later with one of another component
+            left = left.where("stored")
             first = left.groupBy("slot").agg(F.max(F.struct("met", "node", "root")).alias("top")) if turn == 0 else _others(left, turn)
             pairs = left.join(first.select("slot", F.col("top.node").alias("other"), F.col("top.root").alias("other_root")), "slot").where("root <> other_root").select(*_ordered("node", "other"))
             found = _verified(pairs.distinct(), nodes, least)
@@ -183,16 +185,25 @@ def linked(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             found = _across(left, nodes, least)
         found = written(found, "near")
         if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            roots = written(components(links).withColumnRenamed("fp", "node"), "near-roots")
-            # two that have met need not meet again
-            labelled = written(members.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+            roots = written(_merged(roots, found, written), "near-roots")
+            labelled = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
     kept, _ = common.written(roots, "linked")
     for path in made:
         common.drop_path(spark, path)
     return kept
 
 
+def _merged(roots: DataFrame, found: DataFrame, written) -> DataFrame:
+    """(node, root) with more links: components of the components that they join, not of all links anew."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y"))
+    joined = written(ends.where("x <> y").select(*_ordered("x", "y")).distinct(), "joined")
+    step = components(joined).select(F.col("fp").alias("was"), F.col("root").alias("now"))
+    moved = roots.join(step, roots["root"] == step["was"], "left").select("node", F.coalesce("now", "root").alias("root"))
+    fresh = step.join(roots.select(F.col("root").alias("was")).distinct(), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    return moved.unionByName(fresh)
+
+
 def _across(left: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between components that meet in a table key: one, at least, for each two that have any there.
 
@@ -255,6 +266,7 @@ def _compare(least: float):
                 held.append(now)
         if held:
             yield out(held)
+        common.release()
 
     return run
 
