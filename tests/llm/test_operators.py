@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, extract, licenses, mixing, notices, quality, secrets, simhash, sketch, tokenfiles, warc, wordhash
+from tessera.llm import bpe, common, extract, licenses, mixing, notices, quality, secrets, simhash, sketch, tokenfiles, warc, wordhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, kept string, size string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -827,3 +827,11 @@ def test_bpe(spark, docs, none, sf):
     back = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH, PATTERN)
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r[0], r[1] or "") for r in rows())
     assert bpe.encode_digests(none, PATH, PATTERN).count() == 0
+
+
+def test_written_tables_have_no_marker(spark):
+    """Tables of the operators' own are read back whole without a _SUCCESS file, for which the driver would start processes."""
+    back, path = common.written(spark.range(100).repartition(3), "marker")
+    assert sorted(r.id for r in back.collect()) == list(range(100))
+    assert not common.exists(spark, f"{path}/_SUCCESS")
+    common.drop_path(spark, path)
