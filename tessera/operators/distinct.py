@@ -2,8 +2,8 @@
 
 A gram is a 64-bit hash made of the hashes of its words.  Each task takes its texts
 in chunks, sorts a chunk's grams group by group and sends what is distinct in it,
-cut into ranges of hashes: one row a chunk and range, as differences in byte planes
-(about 5.5 bytes a gram).  A range is then counted by itself, so that no group and
+cut into ranges of hashes: one row a chunk and range, as differences in compressed byte
+planes.  A range is then counted by itself, so that no group and
 no frequent gram is one task, and no gram is a row.
 """
 
